@@ -9,7 +9,7 @@ from corpusloom.functions.edit_distance import word_errors
 from corpusloom.operators import tokens as tok
 from corpusloom.plans import lexicon, sql
 from corpusloom.plans.catalog import query, r6
-from corpusloom.sources.tables import read_table
+from corpusloom.sources.tables import read_table, read_texts
 
 
 @query(
@@ -20,7 +20,7 @@ from corpusloom.sources.tables import read_table
 )
 def word_tokens(spark, sf):
     w = T.words(F.col("text"))
-    return read_table(spark, sf, "documents").select("doc_id", w.alias("w")).select(
+    return read_texts(spark, sf, "documents").select("doc_id", w.alias("w")).select(
         "doc_id",
         F.size("w").alias("n_tokens"),
         F.size(F.array_distinct("w")).alias("n_distinct"),
@@ -35,7 +35,7 @@ def word_tokens(spark, sf):
           FROM (SELECT {sql.words('text')} AS w FROM documents)) GROUP BY term""",
 )
 def token_positions(spark, sf):
-    return tok.word_tokens(read_table(spark, sf, "documents")).groupBy("term").agg(
+    return tok.word_tokens(read_texts(spark, sf, "documents")).groupBy("term").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("pos").alias("first_pos"),
         F.max("pos").alias("last_pos"),
@@ -52,7 +52,7 @@ def token_positions(spark, sf):
     GROUP BY gram""",
 )
 def char_ngrams(spark, sf):
-    grams = tok.char_ngrams(read_table(spark, sf, "documents"))
+    grams = tok.char_ngrams(read_texts(spark, sf, "documents"))
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -63,7 +63,7 @@ def char_ngrams(spark, sf):
     SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS sent, unnest(l) AS sentence FROM s""",
 )
 def split_sentences(spark, sf):
-    return tok.sentences(read_table(spark, sf, "documents"))
+    return tok.sentences(read_texts(spark, sf, "documents"))
 
 
 @query(
@@ -74,7 +74,7 @@ def split_sentences(spark, sf):
     SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS para, unnest(l) AS paragraph FROM s""",
 )
 def split_paragraphs(spark, sf):
-    return tok.paragraphs(read_table(spark, sf, "documents"))
+    return tok.paragraphs(read_texts(spark, sf, "documents"))
 
 
 SPANS_SQL = (
@@ -104,7 +104,7 @@ SPANS_SQL = (
 
 @query("sentence_spans", sql.with_(*SPANS_SQL) + "SELECT * FROM spans")
 def sentence_spans(spark, sf):
-    return tok.sentence_spans(read_table(spark, sf, "documents"))
+    return tok.sentence_spans(read_texts(spark, sf, "documents"))
 
 
 @query(
@@ -113,7 +113,7 @@ def sentence_spans(spark, sf):
     + "SELECT lang, term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM lemmas GROUP BY ALL",
 )
 def lemma_terms(spark, sf):
-    terms = lemmas_of(spark, read_table(spark, sf, "documents"))
+    terms = lemmas_of(spark, read_texts(spark, sf, "documents"))
     postings = terms.groupBy("lang", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
     return postings.groupBy("lang", "term").agg(
         F.sum("tf").alias("n"), F.count(F.lit(1)).alias("docs")
@@ -138,12 +138,12 @@ def lemmas_of(spark, docs):
     FROM i""",
 )
 def chunk_text(spark, sf):
-    return tok.chunks(read_table(spark, sf, "documents"))
+    return tok.chunks(read_texts(spark, sf, "documents"))
 
 
 @query("pack_sentences")
 def pack_sentences(spark, sf):
-    docs = read_table(spark, sf, "documents")
+    docs = read_texts(spark, sf, "documents")
     return docs.select(
         "doc_id", F.posexplode(T.speech_chunks(F.col("text"))).alias("piece_index", "piece")
     )
@@ -160,7 +160,7 @@ def pack_sentences(spark, sf):
 )
 def snippets(spark, sf):
     focus = F.array(*[F.lit(w) for w in ("from", "nicht", "dans", "para")])
-    return read_table(spark, sf, "documents").select(
+    return read_texts(spark, sf, "documents").select(
         "doc_id", T.snippet(F.col("text"), focus).alias("snippet")
     )
 
@@ -174,7 +174,7 @@ def snippets(spark, sf):
     FROM c""",
 )
 def letter_frequencies(spark, sf):
-    out = tok.letter_frequencies(read_table(spark, sf, "documents"), "doc_id")
+    out = tok.letter_frequencies(read_texts(spark, sf, "documents"), "doc_id")
     return out.select("doc_id", "letter", "n", r6(F.col("freq"), "freq"))
 
 

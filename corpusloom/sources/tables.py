@@ -56,3 +56,21 @@ def scan_documents(
     if language is not None:
         out = out.filter(out["lang"] == language)
     return out.orderBy("doc_id") if ordered else out
+
+
+# Keys of the tables whose rows are costly to process.
+_TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
+def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text table with work for every core.
+
+    A table stored in fewer splits than there are cores (one small file) is spread by its key
+    first, since tokenizing costs far more than moving the text. A table with splits enough is
+    left as it lies, so nothing large is ever shuffled here.
+    """
+    df = read_table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(cores, _TEXT_KEYS[name])
