@@ -148,9 +148,9 @@ NEGATION_SQL = (
         AND lemma = 'do' GROUP BY doc_id, head_i)""",
     """gone AS (SELECT doc_id, neg_i AS i FROM neg UNION SELECT a.doc_id, aux_i FROM aux a
         SEMI JOIN neg USING (doc_id, head_i))""",
-    """u1 AS (SELECT *, i AS at, 0 AS part, 0 AS sub, NULL::VARCHAR AS literal FROM known
+    """u1 AS (SELECT *, i AS spot, 0 AS part, 0 AS sub, NULL::VARCHAR AS literal FROM known
         ANTI JOIN gone USING (doc_id, i)
-        UNION ALL BY NAME SELECT n.doc_id, h.sent_id, n.head_i AS at, p.part, n.neg_i AS sub,
+        UNION ALL BY NAME SELECT n.doc_id, h.sent_id, n.head_i AS spot, p.part, n.neg_i AS sub,
         p.literal FROM neg n JOIN known h ON h.doc_id = n.doc_id AND h.i = n.head_i
         CROSS JOIN (VALUES (-1, 'ne'), (2, 'pas')) p(part, literal)
         WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = n.doc_id AND g.i = n.head_i))""",
@@ -159,8 +159,8 @@ NEGATION_SQL = (
 
 def _move_sql(source: str, target: str) -> str:
     prenominal = ", ".join(f"'{w}'" for w in tf.PRENOMINAL)
-    return f"""{target} AS (SELECT u.* REPLACE (CASE WHEN m.i IS NULL THEN at
-        ELSE u.head_i END AS at, CASE WHEN m.i IS NULL THEN part ELSE 1 END AS part,
+    return f"""{target} AS (SELECT u.* REPLACE (CASE WHEN m.i IS NULL THEN spot
+        ELSE u.head_i END AS spot, CASE WHEN m.i IS NULL THEN part ELSE 1 END AS part,
         CASE WHEN m.i IS NULL THEN sub ELSE u.i END AS sub) FROM {source} u LEFT JOIN
         (SELECT a.doc_id, a.i FROM known a JOIN known h ON h.doc_id = a.doc_id
         AND h.i = a.head_i WHERE a.dep = 'amod' AND a.i < h.i AND h.pos IN ('NOUN', 'PROPN')
@@ -169,7 +169,7 @@ def _move_sql(source: str, target: str) -> str:
 
 def _order_sql(units: str) -> str:
     return (
-        "SELECT doc_id, string_agg(coalesce(literal, text), ' ' ORDER BY at, part, sub) "
+        "SELECT doc_id, string_agg(coalesce(literal, text), ' ' ORDER BY spot, part, sub) "
         f"AS words FROM {units} GROUP BY doc_id"
     )
 
@@ -190,7 +190,7 @@ def negation(spark, sf):
     "adjective_postposition",
     sql.with_(
         *BASE_SQL,
-        "u0 AS (SELECT *, i AS at, 0 AS part, 0 AS sub, NULL::VARCHAR AS literal FROM known)",
+        "u0 AS (SELECT *, i AS spot, 0 AS part, 0 AS sub, NULL::VARCHAR AS literal FROM known)",
         _move_sql("u0", "u2"),
     )
     + _order_sql("u2"),
@@ -280,7 +280,7 @@ RENDER_SQL = (
     f"""u4 AS (SELECT *, coalesce(nullif(forced, ''), translation) AS tr, {_SOURCE} AS src,
         row_number() OVER w AS n, literal IS NULL AND coalesce(lag(CASE WHEN literal IS NULL
         THEN i END) OVER w = i - 1, false) AS adjacent FROM u3
-        WINDOW w AS (PARTITION BY doc_id ORDER BY at, part, sub))""",
+        WINDOW w AS (PARTITION BY doc_id ORDER BY spot, part, sub))""",
     f"""pieces AS (SELECT doc_id, n, sent_id, CASE WHEN literal IS NOT NULL THEN literal
         WHEN NOT is_alpha THEN text WHEN tr IS NULL THEN src
         ELSE {an.match_case_sql('src', 'tr')} END AS piece,
