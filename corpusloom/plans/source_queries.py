@@ -195,8 +195,8 @@ def export_json(spark, sf):
         AS documents_changed_at FROM events GROUP BY user_id),
     j AS (SELECT user_id AS collection, max(ts) AS indexed_at FROM events
         WHERE event_type = 'click' GROUP BY user_id)
-    SELECT collection, documents_changed_at, indexed_at, documents_changed_at IS NOT NULL
-    AND (indexed_at IS NULL OR documents_changed_at > indexed_at) AS is_stale
+    SELECT collection, documents_changed_at, indexed_at,
+    coalesce(documents_changed_at > indexed_at, false) AS is_stale
     FROM c LEFT JOIN j USING (collection)""",
 )
 def stale_collections(spark, sf):

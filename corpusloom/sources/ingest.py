@@ -101,12 +101,11 @@ def export_json(df: DataFrame, path: str) -> None:
 
 
 def stale_collections(collections: DataFrame, index_jobs: DataFrame) -> DataFrame:
-    """Collections whose documents changed after their latest index finished, or never had one."""
+    """Flag collections whose documents changed after their latest index finished."""
     latest = index_jobs.groupBy("collection").agg(F.max("finished_at").alias("indexed_at"))
     return collections.join(latest, "collection", "left").withColumn(
         "is_stale",
-        F.col("documents_changed_at").isNotNull()
-        & (F.col("indexed_at").isNull() | (F.col("documents_changed_at") > F.col("indexed_at"))),
+        F.coalesce(F.col("documents_changed_at") > F.col("indexed_at"), F.lit(False)),
     )
 
 
