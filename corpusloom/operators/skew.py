@@ -47,7 +47,7 @@ def join_term_stats(
     Terms found in more than ``share`` of the documents are few by arithmetic: their document
     frequencies add up to at most the number of postings, so there are at most (terms per
     document / share) of them however large the corpus is. They are broadcast. Their postings
-    get a scattered key in the shuffle join of the remaining terms, so no task receives them all.
+    get a scattered hash in the shuffle join of the remaining terms, so no task receives them all.
     """
     values = [c for c in stats.columns if c != term]
     # the constant floor keeps the hot list tiny on small inputs too
@@ -55,18 +55,15 @@ def join_term_stats(
     hot = stats.filter(frequent).select(
         term, F.struct(*values).alias("_hot")
     )
+    # hashed once into the build side: the postings, by far the longer side, are never sorted
     cold = stats.filter(~frequent).select(
-        F.col(term).alias("_key"), F.struct(*values).alias("_cold")
-    )
+        F.xxhash64(term).alias("_h"), term, F.struct(*values).alias("_cold")
+    ).hint("shuffle_hash")
     tagged = postings.join(F.broadcast(hot), term, "left").withColumn(
-        "_key",
-        F.when(F.col("_hot").isNull(), F.col(term)).otherwise(
-            F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in postings.columns]))
-        ),
-    )
-    joined = tagged.join(cold, "_key", "left").withColumn(
-        "_s", F.coalesce("_hot", "_cold")
+        "_h",
+        F.when(F.col("_hot").isNull(), F.xxhash64(term)).otherwise(F.xxhash64(*postings.columns)),
     )
+    joined = tagged.join(cold, ["_h", term], "left").withColumn("_s", F.coalesce("_hot", "_cold"))
     return joined.select(*postings.columns, *[F.col(f"_s.{v}").alias(v) for v in values])
 
 

@@ -16,13 +16,16 @@ def postings_of(docs):
     return wt.term_frequencies(tok.words_only(docs, "doc_id"))
 
 
-def build_index(docs, terms, save: bool = True):
-    """Postings and non-zero normalised weights, both stored when ``save`` is set."""
-    postings = wt.term_frequencies(terms)
-    if save:
-        postings = materialise(postings, "postings")
-    weights = wt.tfidf_vectors(postings, wt.row_count(docs))
-    return postings, materialise(weights, "weights") if save else weights
+def stored_postings(spark, sf):
+    """Postings written once, and the number of documents."""
+    postings = materialise(postings_of(read_texts(spark, sf, "documents")), "postings")
+    return postings, wt.row_count(read_table(spark, sf, "documents"))
+
+
+def build_index(terms, total):
+    """Postings and non-zero normalised weights, both stored."""
+    postings = materialise(wt.term_frequencies(terms), "postings")
+    return postings, materialise(wt.tfidf_vectors(postings, total), "weights")
 
 
 @query("term_frequencies", sql.with_(sql.TOKENS, sql.TF) + "SELECT * FROM tf")
@@ -43,7 +46,8 @@ def document_frequencies(spark, sf):
 def inverse_document_frequencies(spark, sf):
     docs = read_texts(spark, sf, "documents")
     dfs = wt.document_frequencies(postings_of(docs))
-    idfs = wt.inverse_document_frequencies(dfs, wt.row_count(docs))
+    total = wt.row_count(read_table(spark, sf, "documents"))
+    idfs = wt.inverse_document_frequencies(dfs, total)
     return idfs.select("term", "df", r6(F.col("idf"), "idf"))
 
 
@@ -54,8 +58,7 @@ def inverse_document_frequencies(spark, sf):
     "FROM raw GROUP BY doc_id",
 )
 def raw_weights(spark, sf):
-    docs = read_texts(spark, sf, "documents")
-    postings, total = postings_of(docs), wt.row_count(docs)
+    postings, total = stored_postings(spark, sf)
     idfs = wt.inverse_document_frequencies(wt.document_frequencies(postings), total)
     return wt.raw_weights(postings, idfs, total).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("terms"),
@@ -69,8 +72,7 @@ def raw_weights(spark, sf):
     sql.with_(*sql.INDEX) + "SELECT doc_id, term, round(weight, 6) AS weight FROM weights",
 )
 def normalised_vectors(spark, sf):
-    docs = read_texts(spark, sf, "documents")
-    vectors = wt.tfidf_vectors(postings_of(docs), wt.row_count(docs))
+    vectors = wt.tfidf_vectors(*stored_postings(spark, sf))
     return vectors.select("doc_id", "term", r6(F.col("weight"), "weight"))
 
 
@@ -97,8 +99,7 @@ MODIFIED_SQL = (
     + "SELECT doc_id, term, round(weight, 6) AS weight FROM modified",
 )
 def modified_weights(spark, sf):
-    docs = read_texts(spark, sf, "documents")
-    out = wt.modified_weights(postings_of(docs), wt.row_count(docs))
+    out = wt.modified_weights(*stored_postings(spark, sf))
     return out.select("doc_id", "term", r6(F.col("weight"), "weight"))
 
 
@@ -124,7 +125,8 @@ LEMMA_INDEX = (
 def tfidf_index(spark, sf):
     """The whole index job on lemmas, stored, read back and summed up per term."""
     docs = read_texts(spark, sf, "documents")
-    postings, weights = build_index(docs, lemmas_of(spark, docs))
+    total = wt.row_count(read_table(spark, sf, "documents"))
+    postings, weights = build_index(lemmas_of(spark, docs), total)
     by_term = postings.groupBy("term").agg(
         F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("occurrences")
     )
@@ -140,9 +142,10 @@ def tfidf_index(spark, sf):
 )
 def index_summary(spark, sf):
     docs = read_texts(spark, sf, "documents")
-    postings, weights = build_index(docs, lemmas_of(spark, docs))
+    total = wt.row_count(read_table(spark, sf, "documents"))
+    postings, weights = build_index(lemmas_of(spark, docs), total)
     return spark.range(1).select(
-        wt.row_count(docs).alias("documents"),
+        total.alias("documents"),
         wt.row_count(wt.document_frequencies(postings)).alias("terms"),
         wt.row_count(postings).alias("postings"),
         wt.row_count(weights).alias("weights"),

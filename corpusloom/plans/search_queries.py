@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from corpusloom.operators import ranking, search, similarity as sim, tokens as tok, weighting as wt
@@ -22,17 +24,33 @@ def benchmark_queries(spark, sf):
 
 
 class Corpus:
-    """The indexed corpus and its query vectors. Nothing runs until a result is used."""
+    """The indexed corpus and its query vectors.
+
+    Postings are stored, as an index stores them: the texts are read and tokenized once, and
+    statistics, weights and query vectors all start from the compact table.
+    """
 
     def __init__(self, spark, sf):
         self.docs = read_texts(spark, sf, "documents")
         self.queries = benchmark_queries(spark, sf)
-        self.total = wt.row_count(self.docs)
-        self.postings = postings_of(self.docs)
-        self.dfs = wt.document_frequencies(self.postings)
-        self.weights = wt.tfidf_vectors(self.postings, self.total)
+        self.total = wt.row_count(read_table(spark, sf, "documents"))
         self.query_tokens = tok.words_only(self.queries, "query_id")
-        self.vectors = search.query_vectors(self.query_tokens, self.dfs, self.total)
+
+    @cached_property
+    def postings(self):
+        return materialise(postings_of(self.docs), "postings")
+
+    @cached_property
+    def dfs(self):
+        return wt.document_frequencies(self.postings)
+
+    @cached_property
+    def weights(self):
+        return wt.tfidf_vectors(self.postings, self.total)
+
+    @cached_property
+    def vectors(self):
+        return search.query_vectors(self.query_tokens, self.dfs, self.total)
 
     def scores(self, vectors=None):
         return search.tfidf_search(

@@ -10,7 +10,7 @@ from corpusloom.plans.catalog import query, r6
 from corpusloom.plans.search_queries import CENTROID_SQL, chunk_vectors, label_centroids
 from corpusloom.plans.text_queries import SPANS_SQL
 from corpusloom.sources.shared import materialise
-from corpusloom.sources.tables import read_texts
+from corpusloom.sources.tables import read_table, read_texts
 
 TERMS_SQL = (
     sql.N,
@@ -55,7 +55,7 @@ class Sentences:
     def __init__(self, spark, sf):
         self.docs = read_texts(spark, sf, "documents")
         self.spans = tok.sentence_spans(self.docs)
-        self.total = wt.row_count(self.docs)
+        self.total = wt.row_count(read_table(spark, sf, "documents"))
         # one row per sentence, language attached, without a join
         rows = self.docs.select(
             "doc_id", "lang", F.posexplode(_all_sentences()).alias("sent", "sentence")
@@ -63,7 +63,10 @@ class Sentences:
         self.sentences = rows.select("doc_id", "sent", "sentence")
         words = tok.words_only(rows, "doc_id", "lang", "sent", text="sentence")
         lemmas = tok.lemma_terms(words, lexicon.stop_words(spark), lexicon.form_lemma(self.docs))
-        self.terms = lemmas.groupBy("doc_id", "sent", "term").agg(F.count(F.lit(1)).alias("n"))
+        # stored: weights, scores and graphs all start from the counted terms
+        self.terms = materialise(
+            lemmas.groupBy("doc_id", "sent", "term").agg(F.count(F.lit(1)).alias("n")), "terms"
+        )
 
     def algorithmic(self):
         return sm.rank_algorithmic(self.spans, self.terms, self.total)
