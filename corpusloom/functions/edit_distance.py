@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 
 def edit_distance(ref, hyp) -> int:
@@ -23,6 +23,6 @@ def edit_distance(ref, hyp) -> int:
     return int(row[-1])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def word_errors(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([edit_distance(r, h) for r, h in zip(ref, hyp)], dtype="int32")

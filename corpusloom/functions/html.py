@@ -6,6 +6,7 @@ import html as _html
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from corpusloom.functions import urls
 from corpusloom.functions.text import squeeze, strip
@@ -26,7 +27,7 @@ HREF = r"""(?is)<a(?:\s[^>]*?)?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 TITLE_CHARS = 500
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """Character references of HTML to characters."""
     return text.map(lambda s: _html.unescape(s) if s is not None and "&" in s else s)

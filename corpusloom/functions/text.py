@@ -105,7 +105,7 @@ def speech_chunks(text: Column, target: int = SPEECH_TARGET, limit: int = SPEECH
     flat = squeeze(text)
     found = _all(flat, SPOKEN_SENTENCE_PATTERN)
     parts = F.when(F.size(found) > 0, found).otherwise(F.array(flat))
-    parts = F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
     state = F.struct(
         F.array().cast("array<string>").alias("done"), F.lit("").alias("open")
     )

@@ -92,7 +92,7 @@ def position_in_group(
     return (
         numbered.join(offsets, [*group, "_block"])
         .withColumn(name, F.col("_offset") + F.col("_in_block"))
-        .drop("_block", "_offset", "_in_block")
+        .select(*df.columns, name)
     )
 
 
