@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.functions.text import normalise_phrase
-from corpusloom.operators.skew import fits, lookup_join, position_in_group
+from corpusloom.operators.skew import fits, lookup_join
 
 # Commands that are tried on each transcript in its row; more of them are found by their anchors.
 INLINE_COMMANDS = 1_000
@@ -141,19 +141,32 @@ def _windows(heard: DataFrame, keep: list[str], width: int) -> DataFrame:
 
 
 def medians(df: DataFrame, group: list[str], value: str, width: float) -> DataFrame:
-    """The exact median per group; rows are numbered in blocks of ``width`` along the value."""
-    numbered = position_in_group(
-        df.filter(F.col(value).isNotNull()).select(*group, value),
-        group,
-        F.floor(F.col(value) / width),
-        [F.col(value)],
-        "_at",
+    """The exact median per group from counts per distinct value.
+
+    Equal values are counted before anything is sorted, and values are placed block by block of
+    ``width``, so neither a frequent value nor a large group meets in one task.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(
+        F.count(F.lit(1)).alias("_c")
+    ).withColumn("_block", F.floor(F.col(value) / width))
+    blocks = counts.groupBy(*group, "_block").agg(F.sum("_c").alias("_b"))
+    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(
+        Window.unboundedPreceding, -1
     )
-    sizes = df.groupBy(*group).agg(F.count(value).alias("_n"))
-    middle = (F.col("_at") == F.expr("(_n + 1) div 2")) | (F.col("_at") == F.expr("(_n + 2) div 2"))
-    return (
-        numbered.join(sizes, group).filter(middle).groupBy(*group).agg(F.avg(value).alias("median"))
+    placed = blocks.select(
+        *group,
+        "_block",
+        F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_before"),
+        F.sum("_b").over(Window.partitionBy(*group)).alias("_n"),
     )
+    up_to = Window.partitionBy(*group, "_block").orderBy(value)
+    last = F.col("_before") + F.sum("_c").over(up_to)
+    ranged = counts.join(placed, [*group, "_block"]).withColumn("_last", last)
+    covers = lambda at: (F.col("_last") - F.col("_c") < at) & (F.col("_last") >= at)
+    low, high = F.expr("(_n + 1) div 2"), F.expr("(_n + 2) div 2")
+    # one or two values cover the middle places
+    middle = ranged.filter(covers(low) | covers(high))
+    return middle.groupBy(*group).agg(F.avg(value).alias("median"))
 
 
 def matching_report(results: DataFrame, group: list[str]) -> DataFrame:

@@ -35,13 +35,14 @@ def full_ranking(
     """Every document of every query with its exact rank, whatever a query matches.
 
     A block is one rounded score and one range of document ids, so a query's rows, and even one
-    tied score, are split over tasks.
+    tied score, are split over tasks. Blocks are bundled by thousandths of the score.
     """
     rounded = scores.withColumn("score", score6(F.col("score")))
     block = F.struct(
         (-F.col("score")).alias("s"),
         F.floor(F.col("doc_id") / F.lit(rows_per_block)).alias("d"),
     )
-    return position_in_group(rounded, [group], block, [F.col("doc_id")], "rank").withColumn(
-        "rank", F.col("rank").cast("int")
+    ranked = position_in_group(
+        rounded, [group], block, [F.col("doc_id")], "rank", F.floor(-F.col("score") * 1000)
     )
+    return ranked.withColumn("rank", F.col("rank").cast("int"))

@@ -17,15 +17,19 @@ from corpusloom.operators.skew import first_per_key, fits, last_per_key
 MATRIX_CELLS = 4_000_000
 
 
-def query_vectors(query_tokens: DataFrame, dfs: DataFrame, total) -> DataFrame:
+def query_vectors(
+    query_tokens: DataFrame, dfs: DataFrame, total, bound: DataFrame | None = None
+) -> DataFrame:
     """TF-IDF vectors of queries over the known vocabulary with live statistics.
 
-    Terms in every document weigh 0 and drop out.
+    Terms in every document weigh 0 and drop out. When ``bound``, the query table, is counted to
+    be small, the terms of the queries thin out the postings before they are counted.
     """
     tf = weighting.term_frequencies(query_tokens, "query_id")
-    idfs = weighting.inverse_document_frequencies(
-        dfs.join(F.broadcast(tf.select("term").distinct()), "term", "left_semi"), total
-    )
+    asked = tf.select("term").distinct()
+    if bound is not None and fits(bound):
+        asked = F.broadcast(asked)
+    idfs = weighting.inverse_document_frequencies(dfs.join(asked, "term", "left_semi"), total)
     raw = tf.join(idfs, "term").select(
         "query_id", "term", (F.col("tf") * F.col("idf")).alias("weight")
     )
@@ -106,11 +110,15 @@ def _best_per_batch(queries: pd.DataFrame, chunk_vectors: DataFrame, k: int) ->
             names = docs[order][starts]
             scores = np.round(q @ v[order].T, 6)
             per_doc = np.maximum.reduceat(scores, starts, axis=1)
-            for i, query_id in enumerate(query_ids):
-                keep = np.lexsort((names, -per_doc[i]))[:k]
-                yield pd.DataFrame(
-                    {"query_id": query_id, "doc_id": names[keep], "score": per_doc[i][keep]}
-                )
+            # documents are in ascending order, so a stable sort breaks ties by id
+            keep = np.argsort(-per_doc, axis=1, kind="stable")[:, :k]
+            yield pd.DataFrame(
+                {
+                    "query_id": np.repeat(query_ids, keep.shape[1]),
+                    "doc_id": names[keep].ravel(),
+                    "score": np.take_along_axis(per_doc, keep, axis=1).ravel(),
+                }
+            )
 
     return chunk_vectors.select("doc_id", "vector").mapInPandas(
         score, "query_id bigint, doc_id bigint, score double"

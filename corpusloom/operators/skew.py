@@ -73,29 +73,44 @@ def position_in_group(
     block: Column,
     order: Sequence[Column],
     name: str = "position",
+    coarse: Column | None = None,
 ) -> DataFrame:
     """Exact 1-based position of every row in its group, without sorting a group in one task.
 
     ``block`` must not decrease along ``order``. Rows are counted per block, the counts become
-    offsets, and rows are numbered inside their block only.
+    offsets, and rows are numbered inside their block only. Where a group may have very many
+    blocks, ``coarse`` bundles them (it must not decrease either): offsets are then summed inside
+    each bundle and over the few bundles, never over all blocks of a group at once.
     """
-    keyed = df.withColumn("_block", block)
-    counts = keyed.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(
-        Window.unboundedPreceding, -1
+    keyed = df.withColumn("_block", block).withColumn(
+        "_coarse", F.lit(0) if coarse is None else coarse
     )
-    offsets = counts.select(
-        *group, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
-    )
-    inside = Window.partitionBy(*group, "_block").orderBy(*order)
-    numbered = keyed.withColumn("_in_block", F.row_number().over(inside))
+    keys = [*group, "_coarse", "_block"]
+    counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = _offsets(counts, [*group, "_coarse"], "_block")
+    if coarse is not None:
+        bundles = counts.groupBy(*group, "_coarse").agg(F.sum("_n").alias("_n"))
+        above = _offsets(bundles, list(group), "_coarse").withColumnRenamed("_offset", "_above")
+        offsets = offsets.join(above, [*group, "_coarse"]).withColumn(
+            "_offset", F.col("_offset") + F.col("_above")
+        ).drop("_above")
+    inside = Window.partitionBy(*keys).orderBy(*order)
     return (
-        numbered.join(offsets, [*group, "_block"])
+        keyed.withColumn("_in_block", F.row_number().over(inside))
+        .join(offsets, keys)
         .withColumn(name, F.col("_offset") + F.col("_in_block"))
         .select(*df.columns, name)
     )
 
 
+def _offsets(counts: DataFrame, group: list[str], along: str) -> DataFrame:
+    """Rows counted before each step of ``along`` in its group."""
+    before = Window.partitionBy(*group).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(
+        *group, along, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+    )
+
+
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row per key by ``order``: a partial aggregate, so a hot key costs nothing."""
     rest = [c for c in df.columns if c not in key and c not in order]

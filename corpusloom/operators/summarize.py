@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.vectors import cosine
 from corpusloom.operators import weighting as wt
+from corpusloom.operators.skew import lookup_join
 
 # TextRank settings and result sizes.
 DAMPING, ITERATIONS, TOLERANCE = 0.85, 100, 1e-4
@@ -195,11 +196,11 @@ def centrality(sentence_vectors: DataFrame) -> DataFrame:
 
 
 def query_similarity(sentence_vectors: DataFrame, query_vectors: DataFrame) -> DataFrame:
-    """Cosine of every sentence vector to the query vector of its document.
-
-    ``query_vectors`` holds few rows, ``(query_id, query_vector)``, and is broadcast.
-    """
-    return sentence_vectors.join(F.broadcast(query_vectors), "query_id").select(
+    """Cosine of every sentence vector to the query vector ``(query_id, query_vector)`` it asks for."""
+    met = lookup_join(
+        sentence_vectors, query_vectors, ["query_id"], ["doc_id", "sent"], "inner", rows=20_000
+    )
+    return met.select(
         "doc_id", "sent", "query_id", cosine(F.col("vector"), F.col("query_vector")).alias("weight")
     )
 

@@ -50,7 +50,7 @@ class Corpus:
 
     @cached_property
     def vectors(self):
-        return search.query_vectors(self.query_tokens, self.dfs, self.total)
+        return search.query_vectors(self.query_tokens, self.dfs, self.total, self.queries)
 
     def scores(self, vectors=None):
         return search.tfidf_search(

@@ -44,15 +44,30 @@ class TermIndexLog:
     def _newest(versions: DataFrame) -> DataFrame:
         return last_per_key(versions, ["doc_id"], ["version", "batch"])
 
+    def _versions_of(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """What earlier batches know about the documents of this one.
+
+        The id range of the batch is pushed down to the Parquet scan; the join then keeps the
+        documents in question.
+        """
+        low, high = batch.agg(F.min("doc_id"), F.max("doc_id")).first()
+        log = self._read("versions", batch_id)
+        if low is not None:
+            log = log.filter(F.col("doc_id").between(low, high))
+        return log.join(batch.select("doc_id").distinct(), "doc_id", "left_semi")
+
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """Add one micro-batch of ``(doc_id, text, version)``; outdated versions are ignored."""
-        known = self._newest(self._read("versions", batch_id))
         latest = last_per_key(batch.select("doc_id", "text", "version"), ["doc_id"], ["version"])
+        known = self._newest(self._versions_of(batch, batch_id))
         old = known.select("doc_id", F.col("version").alias("_old"), F.col("batch").alias("_batch"))
         fresh = latest.join(old, "doc_id", "left").filter(
             F.col("_old").isNull() | (F.col("version") > F.col("_old"))
         )
-        self._write(fresh.select("doc_id", "version"), "versions", batch_id)
+        # in id order, so that later batches skip the row groups they do not touch
+        self._write(
+            fresh.select("doc_id", "version").sortWithinPartitions("doc_id"), "versions", batch_id
+        )
         touched = self.spark.read.schema("doc_id bigint, version bigint").parquet(
             f"{self.path}/versions/batch={batch_id}"
         )
