@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.operators.skew import position_in_group
+from corpusloom.sources.shared import materialise
 
 # Bounds of the result size.
 DEFAULT_TOP_K, MAX_TOP_K = 10, 100
@@ -35,9 +36,10 @@ def full_ranking(
     """Every document of every query with its exact rank, whatever a query matches.
 
     A block is one rounded score and one range of document ids, so a query's rows, and even one
-    tied score, are split over tasks. Blocks are bundled by thousandths of the score.
+    tied score, are split over tasks. Blocks are bundled by thousandths of the score. The scores
+    are written first, since they are counted and then numbered.
     """
-    rounded = scores.withColumn("score", score6(F.col("score")))
+    rounded = materialise(scores.withColumn("score", score6(F.col("score"))), "scores")
     block = F.struct(
         (-F.col("score")).alias("s"),
         F.floor(F.col("doc_id") / F.lit(rows_per_block)).alias("d"),
