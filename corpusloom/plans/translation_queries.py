@@ -224,7 +224,7 @@ def _agree_sql(source: str, target: str) -> str:
 )
 def agreement(spark, sf):
     t = Translation(spark, sf)
-    units = tf.agreement(tf.start_units(t.known), t.known, *t.lexicons())
+    units = tf.agreement(tf.start_units(t.known), *t.lexicons())
     return units.filter("forced is not null").groupBy("pos", "dep", "translation", "forced").agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -314,12 +314,12 @@ JOIN_SQL = (
 def _pieces(spark, sf):
     t = Translation(spark, sf)
     units = tf.adjective_postposition(tf.negation(tf.start_units(t.known)))
-    return tf.render(tf.agreement(units, t.known, *t.lexicons()))
+    return tf.render(tf.agreement(units, *t.lexicons()))
 
 
 def _piece_text(pieces):
     return pieces.groupBy("doc_id").agg(
-        tr.ordered_concat(pieces, F.col("piece"), "n", sep=" ").alias("words")
+        tr.ordered_concat(pieces, F.col("piece"), "at", "part", "sub", sep=" ").alias("words")
     )
 
 
@@ -354,7 +354,7 @@ def elision(spark, sf):
 )
 def detokenise(spark, sf):
     """Rendered pieces joined as they are, before contractions and elisions."""
-    return tf.detokenise(_pieces(spark, sf))
+    return tf.detokenise(_pieces(spark, sf)).select("doc_id", "translated_text")
 
 
 TRANSFER_SQL = (*BASE_SQL, *RENDER_SQL, *CONTRACT_SQL, *ELIDE_SQL, *JOIN_SQL)
