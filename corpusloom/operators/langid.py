@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.operators.skew import position_in_group
+from corpusloom.operators.skew import lookup_join, position_in_group
 from corpusloom.operators.tokens import letter_frequencies, words_only
+from corpusloom.sources.shared import materialise
 
 # Profile length, which is also the penalty of an absent word.
 TOP_N = 300
@@ -176,13 +177,17 @@ def stratified_split(docs: DataFrame, test_ratio: float, seed: int = 0) -> DataF
     """Assign ``split`` to documents without one so that each language reaches its test share.
 
     The target is ``clamp(half-even round(total * ratio), 1, total - 1)`` and counts documents
-    already assigned; languages with fewer than two documents go to training. Documents are taken
-    in md5 order, numbered block by block, instead of a shuffle.
+    already assigned; languages with fewer than two documents go to training. Instead of a
+    shuffle, documents are taken in md5 order: only ids and languages are numbered, block by
+    block, to find the last mark to take per language. The documents themselves never move.
     """
     if not 0 < test_ratio < 1:
         raise ValueError("test_ratio must be between 0 and 1")
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id")))
     totals = docs.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("split") == "test").alias("has_test")
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("split") == "test").alias("has_test"),
+        F.count_if(F.col("split").isNull()).alias("fresh"),
     )
     target = F.greatest(
         F.lit(1),
@@ -191,21 +196,18 @@ def stratified_split(docs: DataFrame, test_ratio: float, seed: int = 0) -> DataF
             F.col("total") - 1,
         ),
     )
-    need = totals.select(
-        "lang",
-        F.when(F.col("total") < 2, F.lit(0))
-        .otherwise(F.greatest(F.lit(0), target - F.col("has_test")))
-        .alias("need"),
-    )
-    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id")))
-    fresh = docs.filter("split is null").drop("split").withColumn("_mark", mark)
+    missing = F.least(F.greatest(F.lit(0), target - F.col("has_test")), F.col("fresh"))
+    need = totals.select("lang", F.when(F.col("total") < 2, F.lit(0)).otherwise(missing).alias("need"))
+    marks = docs.filter("split is null").select("lang", mark.alias("_mark"))
     numbered = position_in_group(
-        fresh, ["lang"], F.substring("_mark", 1, 3), [F.col("_mark")], "_at"
-    )
-    assigned = numbered.join(F.broadcast(need), "lang").withColumn(
-        "split", F.when(F.col("_at") <= F.col("need"), F.lit("test")).otherwise(F.lit("train"))
-    )
-    return docs.filter("split is not null").unionByName(assigned.select(docs.columns))
+        marks, ["lang"], F.substring("_mark", 1, 3), [F.col("_mark")], "_at"
+    )
+    last = numbered.join(need, "lang").filter("_at = need").select("lang", F.col("_mark").alias("_last"))
+    # a row per language
+    limits = materialise(last, "split-marks")
+    placed = lookup_join(docs, limits, ["lang"], ["doc_id"])
+    fresh = F.when(mark <= F.col("_last"), F.lit("test")).otherwise(F.lit("train"))
+    return placed.withColumn("split", F.coalesce("split", fresh)).select(docs.columns)
 
 
 def split_counts(docs: DataFrame) -> DataFrame:
