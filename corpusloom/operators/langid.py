@@ -202,9 +202,10 @@ def stratified_split(docs: DataFrame, test_ratio: float, seed: int = 0) -> DataF
     numbered = position_in_group(
         marks, ["lang"], F.substring("_mark", 1, 3), [F.col("_mark")], "_at"
     )
-    last = numbered.join(need, "lang").filter("_at = need").select("lang", F.col("_mark").alias("_last"))
-    # a row per language
-    limits = materialise(last, "split-marks")
+    # both tables hold a row per language
+    need = materialise(need, "split-needs")
+    last = lookup_join(numbered, need, ["lang"], ["_mark"], "inner").filter("_at = need")
+    limits = materialise(last.select("lang", F.col("_mark").alias("_last")), "split-marks")
     placed = lookup_join(docs, limits, ["lang"], ["doc_id"])
     fresh = F.when(mark <= F.col("_last"), F.lit("test")).otherwise(F.lit("train"))
     return placed.withColumn("split", F.coalesce("split", fresh)).select(docs.columns)

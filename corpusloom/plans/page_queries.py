@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import html as H, urls as U
 from corpusloom.operators import crawl
+from corpusloom.operators.skew import lookup_join
 from corpusloom.plans import sql
 from corpusloom.plans.catalog import query
 from corpusloom.sources.tables import read_table, read_texts
@@ -293,7 +294,9 @@ def _classified(spark, sf):
         F.min("page_id").alias("_first")
     )
     verdicts = crawl.apply_exclusion_rules(pages, exclusion_rules(pages), "loom")
-    rows = verdicts.withColumn("_u", U.without_query(F.col("url"))).join(first, "_u").select(
+    placed = verdicts.withColumn("_u", U.without_query(F.col("url")))
+    # copies of one page may be many, so the lookup spreads them
+    rows = lookup_join(placed, first, ["_u"], ["page_id"], "inner").select(
         "page_id",
         "allowed",
         H.main_content(F.col("html")).alias("text"),
