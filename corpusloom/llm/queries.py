@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, fingerprints, token_files, warc
+from corpusloom.llm import (
+    bpe,
+    fingerprints,
+    language_id,
+    secret_scan,
+    token_files,
+    toxicity,
+    warc,
+)
 from corpusloom.sources.tables import read_table
 
 QUERIES = {}
@@ -44,11 +52,28 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), ranks, PATTERN)
 
 
+@_query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.fit_and_score(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    )
+
+
 @_query("op5_fingerprints")
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edited_texts(read_table(spark, sf_dir, "documents"))
 
 
+@_query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.fit_and_identify(read_table(spark, sf_dir, "documents"))
+
+
+@_query("op9_secret_scan")
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 @_query(
     "op10_warc_archives",
     """
