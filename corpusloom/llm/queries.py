@@ -9,6 +9,7 @@ from corpusloom.llm import (
     fingerprints,
     language_id,
     secret_scan,
+    shingle_join,
     token_files,
     toxicity,
     warc,
@@ -64,6 +65,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edited_texts(read_table(spark, sf_dir, "documents"))
 
 
+@_query("op7_shingle_join")
+def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.join_documents(read_table(spark, sf_dir, "documents"))
+
+
 @_query("op8_language_id")
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.fit_and_identify(read_table(spark, sf_dir, "documents"))
