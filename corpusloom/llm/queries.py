@@ -8,6 +8,7 @@ from corpusloom.llm import (
     bpe,
     fingerprints,
     language_id,
+    neighbours,
     secret_scan,
     shingle_join,
     token_files,
@@ -65,6 +66,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edited_texts(read_table(spark, sf_dir, "documents"))
 
 
+@_query("op6_hilbert_neighbours")
+def op6_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 @_query("op7_shingle_join")
 def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.join_documents(read_table(spark, sf_dir, "documents"))

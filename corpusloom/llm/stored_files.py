@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.sources.shared import scratch_path
 
@@ -54,3 +54,8 @@ def open_input(folder: str, name: str):
 def open_stream(folder: str, name: str):
     files, path = _split(folder)
     return files.open_input_stream(f"{path}/{name}", compression=None)
+
+
+def tasks_for(manifest: DataFrame) -> int:
+    """Tasks that read the files of a manifest: twice as many as files, so that few meet in one."""
+    return max(1, 2 * manifest.count())

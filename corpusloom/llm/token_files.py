@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpusloom.llm import simple8b
 from corpusloom.llm.arrow import UnitCache, chunks, distinct_units, spliced, sums_by_run
-from corpusloom.llm.stored_files import OutputFile, new_folder, open_input
+from corpusloom.llm.stored_files import OutputFile, new_folder, open_input, tasks_for
 
 _FOOTER = "<8sqqqq"
 _MAGIC = b"TOKENS8B"
@@ -258,7 +258,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 yield from _summaries(folder, row["file"], row["first"])
 
-    return files.repartition("file").mapInArrow(
+    return files.repartition(tasks_for(manifest), "file").mapInArrow(
         read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     )
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.arrow import chunks
-from corpusloom.llm.stored_files import OutputFile, new_folder, open_input, open_stream
+from corpusloom.llm.stored_files import OutputFile, new_folder, open_input, open_stream, tasks_for
 
 # Smallest payload, in bytes, that another record may refer to.
 MIN_REVISIT = 100
@@ -257,7 +257,7 @@ def normalise_archives(manifest: DataFrame, folder: str) -> DataFrame:
             rows = [normalise_file(folder, name) for name in batch.column("archive").to_pylist()]
             yield pa.RecordBatch.from_pylist(rows, schema=_INDEXED)
 
-    spread = manifest.select("archive").repartition("archive")
+    spread = manifest.select("archive").repartition(tasks_for(manifest), "archive")
     return _stored(spread.mapInArrow(rewrite, INDEXED), f"{folder}-indexed", INDEXED)
 
 
@@ -298,7 +298,8 @@ def read_archives(indexed: DataFrame, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 yield from _records(folder, row["archive"], row["sidecar"])
 
-    return indexed.select("archive", "sidecar").repartition("archive").mapInArrow(read, RECORDS)
+    files = indexed.select("archive", "sidecar").repartition(tasks_for(indexed), "archive")
+    return files.mapInArrow(read, RECORDS)
 
 
 def _records(folder: str, archive: str, sidecar: str) -> Iterator[pa.RecordBatch]:
