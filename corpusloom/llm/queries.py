@@ -9,6 +9,7 @@ from corpusloom.llm import (
     fingerprints,
     language_id,
     neighbours,
+    packing,
     secret_scan,
     shingle_join,
     token_files,
@@ -38,11 +39,20 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def tokenizer_text(name: str = "word_bpe_49k.json") -> str:
+    with open(tokenizer_file(name), encoding="utf-8") as file:
+        return file.read()
+
+
 @_query("op1_token_files")
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with open(tokenizer_file("word_bpe_49k.json"), encoding="utf-8") as file:
-        spec = file.read()
-    return token_files.encode_documents(read_table(spark, sf_dir, "documents"), spec)
+    return token_files.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_text())
+
+
+@_query("op2_sequence_packing")
+def op2_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = packing.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_text())
+    return packing.pack(counted)
 
 
 @_query("op3_byte_bpe")
