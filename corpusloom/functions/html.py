@@ -12,8 +12,13 @@ from corpusloom.functions import urls
 from corpusloom.functions.text import squeeze, strip
 
 # Elements without text of their own, page furniture, and block boundaries.
-SILENT = r"(?is)<!--.*?-->|<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)\s*>"
-FURNITURE = r"(?is)<(nav|header|aside|footer)\b[^>]*>.*?</(nav|header|aside|footer)\s*>"
+# An element ends at its own closing tag, whatever other tags stand inside.
+SILENT = "(?is)<!--.*?-->|" + "|".join(
+    rf"<{e}\b[^>]*>.*?</{e}\s*>" for e in ("script", "style", "noscript")
+)
+FURNITURE = "(?is)" + "|".join(
+    rf"<{e}\b[^>]*>.*?</{e}\s*>" for e in ("nav", "header", "aside", "footer")
+)
 TAG = r"""</?[a-zA-Z!?][^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>"""
 BLOCK = (
     r"(?i)</?(?:p|div|section|article|main|h[1-6]|ul|ol|li|table|tr|td|th|blockquote|pre|br|hr|"

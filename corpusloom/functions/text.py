@@ -170,7 +170,7 @@ def match_case(source: Column, translation: Column) -> Column:
     cased = F.upper(source) != F.lower(source)
     first = F.substring(source, 1, 1)
     capitalised = F.concat(
-        F.upper(F.substring(translation, 1, 1)), F.substring(translation, 2, 1_000_000)
+        F.upper(F.substring(translation, 1, 1)), F.substring(translation, 2, F.length(translation))
     )
     return (
         F.when(

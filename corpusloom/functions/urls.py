@@ -31,13 +31,21 @@ def path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
+def decoded_target(url: Column) -> Column:
+    """Everything after the host, with percent-encoding undone where it is well formed."""
+    decoded = F.try_url_decode(F.replace(url, F.lit("+"), F.lit("%2B")))
+    return F.regexp_extract(
+        F.coalesce(decoded, url), r"(?s)^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(.*)$", 1
+    )
+
+
 def without_query(url: Column) -> Column:
     return F.regexp_replace(url, r"(?s)[?#].*$", "")
 
 
 def _without_dots(p: Column) -> Column:
     """Resolve "." and ".." segments of an absolute path."""
-    parts = F.split(F.substring(p, 2, 1_000_000), "/")
+    parts = F.split(F.substring(p, 2, F.length(p)), "/")
     last = F.element_at(parts, -1)
     kept = F.aggregate(
         parts,

@@ -82,31 +82,37 @@ def _number(found: DataFrame, offset: int) -> DataFrame:
 
 
 def apply_exclusion_rules(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """Add ``allowed``: the first matching path rule of the origin decides, no match allows.
+    """Add ``allowed``: the first rule of the applying group that matches decides, none allows.
 
-    Rules for this agent replace the general ones of an origin. An origin has few rules, so they
-    travel as one array per origin and no pair of URL and rule is ever a row.
+    The applying group of an origin is the first, by its first rule, whose agent is contained in
+    our agent's name before any slash, or else the general one. A rule matches when the decoded
+    path, with its query, begins with the rule's path, or when that is a lone asterisk. An origin
+    has few rules, so they travel as one array and no pair of URL and rule is ever a row.
     """
-    mine = F.lower("agent") == agent.lower()
-    ordered = rules.filter(mine | (F.col("agent") == "*")).groupBy("origin").agg(
-        F.array_sort(F.collect_list(F.struct("rule_order", "allow", "path_prefix", mine.alias("mine")))).alias(
-            "all_rules"
+    name = F.lit(agent.split("/")[0].lower())
+    general = F.col("agent") == "*"
+    groups = (
+        rules.filter(general | F.contains(name, F.lower("agent")))
+        .groupBy("origin", "agent")
+        .agg(
+            F.min("rule_order").alias("first"),
+            F.array_sort(F.collect_list(F.struct("rule_order", "allow", "path_prefix"))).alias("rules"),
         )
     )
-    chosen = ordered.select(
-        "origin",
-        F.when(
-            F.exists("all_rules", lambda r: r["mine"]), F.filter("all_rules", lambda r: r["mine"])
-        )
-        .otherwise(F.col("all_rules"))
-        .alias("rules"),
+    # named groups come before the general one
+    chosen = groups.groupBy("origin").agg(
+        F.min_by("rules", F.struct(general.alias("g"), "first", "agent")).alias("rules")
     )
     placed = urls.withColumn("origin", U.origin(F.col("url"))).withColumn(
-        "_path", F.coalesce(F.nullif(U.path(F.col("url")), F.lit("")), F.lit("/"))
+        "_path", F.coalesce(F.nullif(U.decoded_target(F.col("url")), F.lit("")), F.lit("/"))
     )
     joined = lookup_join(placed, chosen, ["origin"], ["url"])
     hit = F.try_element_at(
-        F.filter("rules", lambda r: F.startswith(F.col("_path"), r["path_prefix"])), F.lit(1)
+        F.filter(
+            "rules",
+            lambda r: (r["path_prefix"] == "*") | F.startswith(F.col("_path"), r["path_prefix"]),
+        ),
+        F.lit(1),
     )
     # an empty disallow rule allows everything
     return joined.withColumn(

@@ -11,7 +11,24 @@ from corpusloom.plans import sql
 from corpusloom.plans.catalog import query
 from corpusloom.sources.tables import read_table, read_texts
 
-_TAG = H.TAG.replace("'", "''")
+# The rules of a page, written for DuckDB on their own; nothing is taken from the code they check.
+_SILENT = (
+    r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|"
+    r"<noscript\b[^>]*>.*?</noscript\s*>"
+)
+_FURNITURE = (
+    r"(?is)<nav\b[^>]*>.*?</nav\s*>|<header\b[^>]*>.*?</header\s*>|"
+    r"<aside\b[^>]*>.*?</aside\s*>|<footer\b[^>]*>.*?</footer\s*>"
+)
+_TAGS = r"""<[/a-zA-Z!?](?:"[^"]*"|'[^']*'|[^'">])*>"""
+_BLOCKS = (
+    r"(?i)</?(?:article|blockquote|body|br|dd|div|dl|dt|figcaption|figure|form|h[1-6]|hr|html|li|"
+    r"main|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>"
+)
+_ARTICLE, _MAIN = r"(?is)<article\b[^>]*>(.*)</article\s*>", r"(?is)<main\b[^>]*>(.*)</main\s*>"
+_TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
+_LINKED = r"(?is)<a\b[^>]*>.*?</a\s*>"
+_TARGET = r"""(?is)<a(?:\s[^>]*?)?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 
 
 def _q(pattern: str) -> str:
@@ -30,11 +47,11 @@ def _decode(expr: str) -> str:
 
 
 def _clean(expr: str) -> str:
-    return sql.squeeze(_decode(_drop(_drop(expr, H.SILENT), H.TAG)))
+    return sql.squeeze(_decode(_drop(_drop(expr, _SILENT), _TAGS)))
 
 
 def _bare(expr: str) -> str:
-    return sql.squeeze(_drop(expr, H.TAG))
+    return sql.squeeze(_drop(expr, _TAGS))
 
 
 @query("clean_html", f"SELECT page_id, {_clean('html')} AS text FROM pages")
@@ -43,17 +60,17 @@ def clean_html(spark, sf):
 
 
 MAIN_SQL = (
-    f"""h AS (SELECT page_id, url, html, {_drop('html', H.SILENT)} AS heard FROM pages)""",
+    f"""h AS (SELECT page_id, url, html, {_drop('html', _SILENT)} AS heard FROM pages)""",
     f"""r AS (SELECT *, CASE
-        WHEN {_bare(f"regexp_extract(heard, {_q(H.ARTICLE)}, 1)")} <> ''
-        THEN regexp_extract(heard, {_q(H.ARTICLE)}, 1)
-        WHEN {_bare(f"regexp_extract(heard, {_q(H.MAIN)}, 1)")} <> ''
-        THEN regexp_extract(heard, {_q(H.MAIN)}, 1)
-        ELSE {_drop('heard', H.FURNITURE)} END AS region FROM h)""",
+        WHEN {_bare(f"regexp_extract(heard, {_q(_ARTICLE)}, 1)")} <> ''
+        THEN regexp_extract(heard, {_q(_ARTICLE)}, 1)
+        WHEN {_bare(f"regexp_extract(heard, {_q(_MAIN)}, 1)")} <> ''
+        THEN regexp_extract(heard, {_q(_MAIN)}, 1)
+        ELSE {_drop('heard', _FURNITURE)} END AS region FROM h)""",
     f"""bl AS (SELECT page_id, url, html, list_transform(string_split_regex(
-        {_drop(_drop('region', H.TITLE), H.FURNITURE)}, {_q(H.BLOCK)}),
+        {_drop(_drop('region', _TITLE), _FURNITURE)}, {_q(_BLOCKS)}),
         lambda b: {{'text': {_bare('b')}, 'linked': length({_bare(
-            f"array_to_string(regexp_extract_all(b, {_q(H.ANCHOR)}), ' ')")})}}) AS blocks
+            f"array_to_string(regexp_extract_all(b, {_q(_LINKED)}), ' ')")})}}) AS blocks
         FROM r)""",
     f"""main AS (SELECT page_id, url, html, {sql.squeeze('''coalesce(nullif(''' + _decode(
         "array_to_string(list_transform(list_filter(blocks, lambda b: b.text <> '' "
@@ -72,7 +89,7 @@ def main_content(spark, sf):
 @query(
     "page_titles",
     f"""SELECT page_id, substr(coalesce(nullif({sql.strip(_decode(
-        f"regexp_extract({_drop('html', H.SILENT)}, {_q(H.TITLE)}, 1)"))}, ''), url), 1, 500)
+        f"regexp_extract({_drop('html', _SILENT)}, {_q(_TITLE)}, 1)"))}, ''), url), 1, 500)
     AS title FROM pages""",
 )
 def page_titles(spark, sf):
@@ -88,7 +105,7 @@ _EXT = r"'[^/.][^/]*?(\.[^./]*)$'"
 # every link of the stored pages starts with one slash
 LINKS_SQL = (
     f"""raw AS (SELECT page_id, url, list_transform(regexp_extract_all(
-        {_drop('html', H.SILENT)}, {_q(H.HREF)}, 1),
+        {_drop('html', _SILENT)}, {_q(_TARGET)}, 1),
         lambda x: {_decode(_drop('x', chr(94) + "[\"']|[\"']$", ''))}) AS l FROM pages)""",
     """each AS (SELECT page_id, url, unnest(l) AS href, generate_subscripts(l, 1) - 1 AS pos
         FROM raw)""",
@@ -147,7 +164,7 @@ _GRAPH_SQL = (
     r"""g0 AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS from_url, link AS to_url,
         min(pos) AS at_ FROM links GROUP BY ALL)""",
     r"""graph AS (SELECT page_id, from_url, to_url, row_number() OVER (PARTITION BY page_id
-        ORDER BY at_) - 1 AS pos FROM g0 QUALIFY pos < 5)""",
+        ORDER BY at_) - 1 AS pos FROM g0 QUALIFY pos < 50)""",
 )
 
 
@@ -175,8 +192,8 @@ def restrict_domain(spark, sf):
     sql.with_(*_GRAPH_SQL) + "SELECT from_url, to_url, pos::INT AS pos FROM graph",
 )
 def cap_links_per_page(spark, sf):
-    """At most five distinct links per page, the first ones."""
-    return crawl.link_graph(crawl.extract_links(read_texts(spark, sf, "pages")), n=5)
+    """At most fifty distinct links per page, the first ones."""
+    return crawl.link_graph(crawl.extract_links(read_texts(spark, sf, "pages")))
 
 
 @query(
@@ -219,19 +236,19 @@ def expand_frontier(spark, sf):
         WHERE to_url NOT IN (SELECT url FROM s) GROUP BY to_url),
     a AS (SELECT url, 0 AS depth, n FROM s UNION ALL SELECT url, 1, (SELECT count(*) FROM s)
         + row_number() OVER (ORDER BY first, url) FROM f)
-    SELECT url, depth, n FROM a WHERE n <= (SELECT count(*) * 4 FROM s)""",
+    SELECT url, depth, n FROM a""",
 )
 def crawl_frontier(spark, sf):
-    """The frontier of all stored pages, with a budget of four documents per seed."""
+    """The whole frontier of all stored pages. No stored page links to another, so it has one
+    level; ``expand_frontier`` follows several."""
     pages = read_texts(spark, sf, "pages")
-    links = crawl.link_graph(crawl.extract_links(pages), n=5)
+    links = crawl.link_graph(crawl.extract_links(pages))
     seeds = pages.select(
         U.without_query(F.col("url")).alias("url"), F.col("page_id").alias("pos")
     )
     # pages sharing an address bring the same links, once
     links = links.groupBy("from_url", "to_url").agg(F.min("pos").alias("pos"))
-    budget = 4 * seeds.select("url").distinct().count()
-    return crawl.expand_frontier(seeds, links, 5, budget)
+    return crawl.expand_frontier(seeds, links, 5)
 
 
 # One rule set per origin: general rules, and rules of our own agent for blogs.
@@ -245,7 +262,7 @@ _RULES_SQL = (
     r"""verdict AS (SELECT page_id, url, coalesce((SELECT arg_min(allow, rule_order) FROM rules r
         WHERE r.origin = regexp_extract(p.url, '^(https?://[^/?#]*)', 1)
         AND r.agent = CASE WHEN r.origin LIKE '%blog.%' THEN 'Loom' ELSE '*' END
-        AND starts_with(regexp_extract(p.url, '^https?://[^/?#]*([^?#]*)', 1), r.prefix)), true)
+        AND starts_with(regexp_extract(p.url, '^https?://[^/?#]*(.*)$', 1), r.prefix)), true)
         AS allowed FROM pages p)""",
 )
 

@@ -116,6 +116,64 @@ def test_exclusion_rules(spark):
     assert {r.url: r.allowed for r in out.collect()} == urls
 
 
+def test_exclusion_rules_follow_the_standard_parser(spark):
+    """Query strings, contained agents, encodings and the lone asterisk."""
+    from urllib.robotparser import RobotFileParser
+
+    groups = {
+        "crawl": [(False, "/deep"), (True, "/")],
+        "loom": [(False, "/search?q="), (True, "/a b/ok"), (False, "/a b"), (False, "/x%20y")],
+        "bot": [(False, "/")],
+        "*": [(False, "/search"), (False, "/tmp")],
+    }
+    lines, rows, order = [], [], 0
+    for agent, listed in groups.items():
+        lines.append(f"User-agent: {agent}")
+        for allow, path in listed:
+            order += 1
+            lines.append(f"{'Allow' if allow else 'Disallow'}: {path.replace(' ', '%20')}")
+            rows.append(("http://h.org", agent, order, allow, path))
+        lines.append("")
+    parser = RobotFileParser()
+    parser.parse(lines)
+    # the parser decodes the paths it reads, so the table holds them decoded
+    rows = [(o, g, n, a, p.replace("%20", " ")) for o, g, n, a, p in rows]
+    rules = spark.createDataFrame(
+        rows, "origin string, agent string, rule_order int, allow boolean, path_prefix string"
+    )
+    urls = ["http://h.org" + u for u in (
+        "", "/", "/search?q=1", "/search?p=1", "/search", "/a%20b/ok/1", "/a%20b/no", "/a b/no",
+        "/x%20y", "/tmp/1", "/deep/er", "/%74mp", "/other?x=/tmp", "/a+b",
+    )]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    for agent in ("LoomBot/1.0", "loom", "Robot/2", "Crawler", "nobody", "Loom/x"):
+        got = {r.url: r.allowed for r in crawl.apply_exclusion_rules(df, rules, agent).collect()}
+        assert got == {u: parser.can_fetch(agent, u) for u in urls}, agent
+
+
+def test_a_lone_asterisk_matches_all(spark):
+    rules = spark.createDataFrame(
+        [("http://h.org", "*", 1, False, "*")],
+        "origin string, agent string, rule_order int, allow boolean, path_prefix string",
+    )
+    df = spark.createDataFrame([("http://h.org/any",)], "url string")
+    assert not crawl.apply_exclusion_rules(df, rules, "loom").first().allowed
+
+
+def test_elements_end_at_their_own_tag(spark):
+    pages = [
+        ("""<p>a</p><script>var t="</style>";go(1)</script><p>b</p>""", "a b", "a b"),
+        ("<nav><header>Menu</header> more</nav><p>Main text stands here.</p>",
+         "Menu more Main text stands here.", "Main text stands here."),
+        ("<style>x</script></style>y<noscript><style>z</style>w</noscript>", "y", "y"),
+    ]
+    df = spark.createDataFrame(pages, "html string, text string, main string")
+    for row in df.withColumns(
+        {"t": H.clean_html(F.col("html")), "m": H.main_content(F.col("html"))}
+    ).collect():
+        assert (row.t, row.m) == (row.text, row.main)
+
+
 def test_classify_and_count(spark):
     long = "x" * 200
     rows = [
