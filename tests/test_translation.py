@@ -158,6 +158,30 @@ def test_diff_segments(spark):
     assert rows[1] == []
 
 
+def test_kept_words_are_common_blocks():
+    """The blocks of the standard matcher, which takes them in the same order."""
+    import difflib
+    import random
+
+    rnd = random.Random(6)
+    for _ in range(300):
+        old = rnd.choices("abcdef", k=rnd.randint(0, 25))
+        new = rnd.choices("abcdef", k=rnd.randint(0, 25))
+        want = [False] * len(new)
+        for block in difflib.SequenceMatcher(None, old, new, autojunk=False).get_matching_blocks():
+            want[block.b : block.b + block.size] = [True] * block.size
+        assert tf.kept_words(old, new).tolist() == want
+
+
+def test_segments_keep_every_character(spark):
+    rows = [("a b c", "  a x  b\nc "), ("", "new text"), ("same", "same"), ("a", "b"), ("x", " ")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for row in df.select("b", tf.diff_segments("a", "b").alias("s")).collect():
+        assert "".join(s.text for s in row.s) == row.b
+        flags = [s.changed for s in row.s]
+        assert all(x != y for x, y in zip(flags, flags[1:]))
+
+
 def test_merge_prefers_curated(spark):
     schema = "id bigint, source_lemma string, pos string, target_text string"
     curated = spark.createDataFrame([(1, "Cat", "NOUN", "chat"), (2, "fast", None, "vite")], schema)
