@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import similarity, weighting
-from corpusloom.operators.ranking import top_k
+from corpusloom.operators.ranking import DEFAULT_TOP_K, full_ranking, top_k
 from corpusloom.operators.skew import first_per_key, fits, last_per_key
 
-# Largest query matrix (queries x dimensions) held by a task.
+# Most products (queries x chunk vectors) computed at once, and chunk vectors held by a task.
 MATRIX_CELLS = 4_000_000
+HELD_VECTORS = 20_000
 
 
 def query_vectors(
@@ -47,83 +49,122 @@ def tfidf_search(
 def rank_candidates(
     vectors: DataFrame, docs: DataFrame, candidates: DataFrame, bound: DataFrame | None = None
 ) -> DataFrame:
-    """Cosine for every candidate pair, zeros included."""
-    found = similarity.cosine_similarities(vectors, docs, bound)
-    return candidates.select("query_id", "doc_id").join(
-        found, ["query_id", "doc_id"], "left"
-    ).withColumn("score", F.coalesce("score", F.lit(0.0)))
+    """Cosine for every candidate pair, zeros included.
 
+    Candidates take their query's terms along before they meet the documents, so no pair that was
+    not asked for is ever scored.
+    """
+    asked = _few(vectors.select("query_id", "term", F.col("weight").alias("q_weight")), bound)
+    pairs = candidates.select("query_id", "doc_id")
+    dots = (
+        pairs.join(asked, "query_id")
+        .join(docs.select("doc_id", "term", "weight"), ["doc_id", "term"])
+        .groupBy("query_id", "doc_id")
+        .agg(F.sum(F.col("weight") * F.col("q_weight")).alias("dot"))
+    )
+    own = _few(similarity.norms(vectors, "query_id").withColumnRenamed("norm", "q_norm"), bound)
+    size = F.col("q_norm") * F.col("d_norm")
+    found = (
+        dots.join(similarity.norms(docs, "doc_id").withColumnRenamed("norm", "d_norm"), "doc_id")
+        .join(own, "query_id")
+        .select("query_id", "doc_id", F.try_divide("dot", size).alias("score"))
+    )
+    return pairs.join(found, ["query_id", "doc_id"], "left").withColumn(
+        "score", F.coalesce("score", F.lit(0.0))
+    )
 
-def dense_search(
-    queries: DataFrame, chunk_vectors: DataFrame, k: int, cells: int = MATRIX_CELLS
+
+def _few(df: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+    """The table, broadcast where it is counted to be small."""
+    return F.broadcast(df) if fits(df) else df
+
+
+def dense_scores(
+    queries: DataFrame,
+    chunk_vectors: DataFrame,
+    k: int | None = None,
+    cells: int = MATRIX_CELLS,
+    held: int = HELD_VECTORS,
 ) -> DataFrame:
-    """Exact top ``k`` documents per query by the cosine of their best chunk.
+    """``(query_id, doc_id, score)``: the cosine of a document's best chunk, for every pair.
 
-    Each task multiplies its batch of chunk vectors with the query matrix and passes on, per
-    query, the best chunk of its ``k`` best documents. A document in the final top ``k`` is in
-    the top ``k`` of the batch holding its best chunk, so nothing can be lost, and no task emits
-    the product of queries and chunks. More queries than fit one matrix are taken in turns.
+    Chunk vectors are dealt to places of about ``held`` of them, a document's chunks together;
+    every query visits every place. A task holds the vectors of a place and multiplies them with
+    batches of queries of at most ``cells`` products. With ``k``, a place passes on its ``k`` best
+    documents per query, among which are all of the final ones.
     """
-    matrix_rows = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    head = matrix_rows.select(F.size("vector").alias("d")).take(1)
-    if not head:
-        return chunk_vectors.select("doc_id").limit(0).selectExpr(
-            "cast(null as bigint) query_id", "doc_id", "0D score", "0 rank"
-        )
-    width = max(1, cells // max(1, head[0]["d"]))
-    n = queries.count()
-    turns = -(-n // width)
-    parts = []
-    for turn in range(turns):
-        block = matrix_rows if turns == 1 else matrix_rows.filter(
-            F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn
-        )
-        parts.append(_best_per_batch(block.toPandas(), chunk_vectors, k))
-    best = parts[0]
-    for part in parts[1:]:
-        best = best.unionByName(part)
-    merged = best.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
-    return top_k(merged, k)
-
-
-def _best_per_batch(queries: pd.DataFrame, chunk_vectors: DataFrame, k: int) -> DataFrame:
-    ids = queries["query_id"].to_numpy()
-    matrix = np.stack([np.asarray(v, dtype="float64") for v in queries["vector"]]) if len(
-        queries
-    ) else np.zeros((0, 1))
-    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    unit = np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
-    shared = chunk_vectors.sparkSession.sparkContext.broadcast((ids, unit))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, q = shared.value
-        for batch in batches:
-            if batch.empty or not len(query_ids):
-                continue
-            docs = batch["doc_id"].to_numpy()
-            v = np.stack(batch["vector"].to_numpy()).astype("float64")
-            size = np.linalg.norm(v, axis=1, keepdims=True)
-            v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
-            # one document's chunks next to each other, then the best chunk of each
-            order = np.argsort(docs, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(docs[order]) != 0])
-            names = docs[order][starts]
-            scores = np.round(q @ v[order].T, 6)
-            per_doc = np.maximum.reduceat(scores, starts, axis=1)
-            # documents are in ascending order, so a stable sort breaks ties by id
-            keep = np.argsort(-per_doc, axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame(
-                {
-                    "query_id": np.repeat(query_ids, keep.shape[1]),
-                    "doc_id": names[keep].ravel(),
-                    "score": np.take_along_axis(per_doc, keep, axis=1).ravel(),
-                }
-            )
-
-    return chunk_vectors.select("doc_id", "vector").mapInPandas(
-        score, "query_id bigint, doc_id bigint, score double"
+    cores = chunk_vectors.sparkSession.sparkContext.defaultParallelism
+    n = chunk_vectors.count()
+    places = max(-(-n // held), min(cores, -(-n // 1000)), 1)
+    as_double = F.col("vector").cast("array<double>").alias("vector")
+    docs = chunk_vectors.select(
+        F.pmod(F.xxhash64("doc_id"), F.lit(places)).cast("int").alias("place"),
+        F.lit(0).alias("role"), F.col("doc_id").cast("long").alias("id"), as_double,
+    )
+    asked = queries.select(
+        F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("place"),
+        F.lit(1).alias("role"), F.col("query_id").cast("long").alias("id"), as_double,
+    )
+    ordered = (
+        docs.unionByName(asked)
+        .filter("vector is not null")
+        .repartition("place")
+        .sortWithinPartitions("place", "role", "id")
     )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, ids, rows, ready = None, [], [], None
+        for batch in batches:
+            place, role = np.asarray(batch.column("place")), np.asarray(batch.column("role"))
+            change = (place[1:] != place[:-1]) | (role[1:] != role[:-1])
+            bounds = np.flatnonzero(np.concatenate([[True], change, [True]]))
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if low == high:
+                    continue
+                part = batch.slice(low, high - low)
+                if place[low] != here:
+                    here, ids, rows, ready = place[low], [], [], None
+                names, matrix = np.asarray(part.column("id")), _unit_rows(part.column("vector"))
+                if role[low] == 0:
+                    ids.append(names)
+                    rows.append(matrix)
+                elif ids:
+                    # ids come sorted, so a document's chunks stand next to each other
+                    ready = ready or (np.concatenate(ids), np.concatenate(rows))
+                    step = max(1, cells // len(ready[0]))
+                    for at in range(0, len(names), step):
+                        yield _best_chunks(names[at : at + step], matrix[at : at + step], *ready, k)
+
+    return ordered.mapInArrow(run, "query_id bigint, doc_id bigint, score double")
+
+
+def _unit_rows(column: pa.Array) -> np.ndarray:
+    matrix = np.asarray(column.flatten(), dtype=float).reshape(len(column), -1)
+    length = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
+
+
+def _best_chunks(query_ids, queries, doc_ids, chunks, k: int | None) -> pa.RecordBatch:
+    starts = np.flatnonzero(np.concatenate([[True], doc_ids[1:] != doc_ids[:-1]]))
+    score = np.maximum.reduceat(np.round(queries @ chunks.T, 6), starts, axis=1)
+    docs = np.broadcast_to(doc_ids[starts], score.shape)
+    if k is not None and k < score.shape[1]:
+        # documents are in ascending order, so a stable sort breaks ties by id
+        keep = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        docs, score = np.take_along_axis(docs, keep, 1), np.take_along_axis(score, keep, 1)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.repeat(query_ids, score.shape[1])), pa.array(docs.ravel()),
+         pa.array(score.ravel())],
+        names=["query_id", "doc_id", "score"],
+    )
+
+
+def dense_search(
+    queries: DataFrame, chunk_vectors: DataFrame, k: int, cells: int = MATRIX_CELLS
+) -> DataFrame:
+    """Exact top ``k`` documents per query by the cosine of their best chunk."""
+    return top_k(dense_scores(queries, chunk_vectors, k, cells), k)
+
 
 def first_chunk_vectors(docs: DataFrame, vectors: DataFrame) -> DataFrame:
     """The vector of each document's first chunk; null where it is missing."""
@@ -146,26 +187,36 @@ def require_first_chunk_vectors(docs: DataFrame, vectors: DataFrame) -> DataFram
 
 
 def matched_terms(hits: DataFrame, query_terms: DataFrame, weights: DataFrame) -> DataFrame:
-    """Sorted query terms present in the stored vector of each hit."""
+    """Sorted query terms present in the stored vector of each hit.
+
+    Hits are few next to the index, which stays where it is when they are counted to be.
+    """
     wanted = hits.select("query_id", "doc_id").join(
         query_terms.select("query_id", "term").distinct(), "query_id"
     )
-    found = wanted.join(weights.select("doc_id", "term"), ["doc_id", "term"])
+    found = weights.select("doc_id", "term").join(_few(wanted), ["doc_id", "term"])
     return found.groupBy("query_id", "doc_id").agg(
         F.sort_array(F.collect_set("term")).alias("matched_terms")
     )
 
 
-def with_snippets(hits: DataFrame, docs: DataFrame, matched: DataFrame) -> DataFrame:
-    """Hits with their matched terms and a snippet around the first of them."""
+def with_snippets(
+    hits: DataFrame, docs: DataFrame, matched: DataFrame, queries: DataFrame
+) -> DataFrame:
+    """Hits with their matched terms, and a snippet around the words of the query as typed."""
     none = F.array().cast("array<string>")
-    # top-k hits are few next to the documents, so the documents are not moved
-    return (
+    focus = queries.select("query_id", T.words(F.col("text")).alias("_focus"))
+    found = (
         hits.join(matched, ["query_id", "doc_id"], "left")
+        .join(focus, "query_id", "left")
         .withColumn("matched_terms", F.coalesce("matched_terms", none))
-        .join(docs.select("doc_id", "text"), "doc_id")
-        .withColumn("snippet", T.snippet(F.col("text"), F.col("matched_terms")))
-        .drop("text")
+    )
+    # broadcast hits leave the texts where they are
+    return (
+        docs.select("doc_id", "text")
+        .join(_few(found), "doc_id")
+        .withColumn("snippet", T.snippet(F.col("text"), F.coalesce("_focus", none)))
+        .select(*hits.columns, "matched_terms", "snippet")
     )
 
 
@@ -191,8 +242,32 @@ def clear_judgments(existing: DataFrame, cleared: DataFrame) -> DataFrame:
     return existing.join(cleared.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
 
 
-# Search backends by model kind: (queries, index) -> scores
-BACKENDS: dict[str, Callable[..., DataFrame]] = {
-    "tfidf": tfidf_search,
-    "dense_embedding": dense_search,
+@dataclass(frozen=True)
+class Model:
+    """What a kind of search looks queries up in: term weights, or chunk vectors."""
+
+    kind: str
+    index: DataFrame
+
+
+# Scores by model kind: (queries, index, documents wanted per query or None for all)
+BACKENDS: dict[str, Callable[[DataFrame, DataFrame, int | None], DataFrame]] = {
+    "tfidf": lambda queries, weights, k: tfidf_search(queries, weights),
+    "dense_embedding": dense_scores,
 }
+
+
+def _backend(model: Model):
+    if model.kind not in BACKENDS:
+        raise ValueError(f"no search for model kind {model.kind!r}; known: {sorted(BACKENDS)}")
+    return BACKENDS[model.kind]
+
+
+def search(queries: DataFrame, model: Model, k: int = DEFAULT_TOP_K) -> DataFrame:
+    """The best ``k`` documents of each query vector by the model."""
+    return top_k(_backend(model)(queries, model.index, k), k)
+
+
+def ranking_of(queries: DataFrame, model: Model) -> DataFrame:
+    """The full ranking of each query vector by the model, as a run stores it."""
+    return full_ranking(_backend(model)(queries, model.index, None))

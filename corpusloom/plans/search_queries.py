@@ -249,6 +249,42 @@ def dense_search(spark, sf):
     return search.dense_search(label_centroids(spark, sf), chunk_vectors(spark, sf), 10)
 
 
+def benchmark_vectors(spark, sf):
+    """A query vector per benchmark text: the stored vector of its number."""
+    return read_table(spark, sf, "embeddings").join(
+        benchmark_queries(spark, sf).select("query_id"), F.col("vec_id") == F.col("query_id")
+    ).select("query_id", F.expr("transform(embedding, x -> double(x))").alias("vector"))
+
+
+DENSE_SQL = (
+    """dv AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x
+        FROM embeddings)""",
+    "dn AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM dv GROUP BY vec_id)",
+    """dcos AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk,
+        sum(q.x * c.x) / (any_value(qn.n) * any_value(cn.n)) AS s
+        FROM dv q JOIN benchmark ON q.vec_id = item_id JOIN dv c USING (i)
+        JOIN dn qn ON qn.vec_id = q.vec_id JOIN dn cn ON cn.vec_id = c.vec_id
+        GROUP BY q.vec_id, c.vec_id)""",
+    """dscores AS (SELECT query_id, chunk // 4 AS doc_id, round(max(s), 6) AS score FROM dcos
+        GROUP BY ALL)""",
+    """dranked AS (SELECT query_id, doc_id, score, (row_number() OVER (PARTITION BY query_id
+        ORDER BY score DESC, doc_id))::INT AS rank FROM dscores)""",
+)
+
+
+@query("dense_ranking", sql.with_(*DENSE_SQL) + "SELECT * FROM dranked")
+def dense_ranking(spark, sf):
+    """Every document with chunk vectors, ranked for every query, as a search run stores it."""
+    model = search.Model("dense_embedding", chunk_vectors(spark, sf))
+    return search.ranking_of(benchmark_vectors(spark, sf), model)
+
+
+@query("dense_hits", sql.with_(*DENSE_SQL) + "SELECT * FROM dranked WHERE rank <= 10")
+def dense_hits(spark, sf):
+    model = search.Model("dense_embedding", chunk_vectors(spark, sf))
+    return search.search(benchmark_vectors(spark, sf), model)
+
+
 @query(
     "first_chunk_vectors",
     """SELECT d.doc_id, v.embedding IS NULL AS missing,
@@ -298,9 +334,11 @@ def matched_terms(spark, sf):
     sql.with_(*sql.SEARCH, *MATCHED_SQL)
     + rf""", f AS (SELECT h.query_id, h.doc_id, h.rank, h.score, text,
         coalesce(matched_terms, []) AS matched_terms,
-        list_filter(list_transform(coalesce(matched_terms, []), lambda w: instr(lower(text), w)
+        list_filter(list_transform(typed, lambda w: instr(lower(text), w)
         - 1), lambda p: p >= 0) AS found_at
-        FROM hits h LEFT JOIN matched USING (query_id, doc_id) JOIN documents USING (doc_id)),
+        FROM hits h LEFT JOIN matched USING (query_id, doc_id) JOIN documents USING (doc_id)
+        JOIN (SELECT query_id, list(DISTINCT term) AS typed FROM qtokens GROUP BY query_id)
+        USING (query_id)),
     s AS (SELECT *, greatest(0, coalesce(list_min(found_at), 0) - 106) AS s FROM f)
     SELECT query_id, doc_id, rank, score, matched_terms, (CASE WHEN s > 0 THEN '…' ELSE '' END)
     || {sql.strip('substr(text, s + 1, 320)')}
@@ -310,11 +348,9 @@ def search_hits(spark, sf):
     """Search end to end: ranked hits with matched terms and a snippet."""
     c = Corpus(spark, sf)
     weights = materialise(c.weights, "weights")
-    hits = materialise(
-        ranking.top_k(search.tfidf_search(c.vectors, weights, bound=c.queries)), "hits"
-    )
+    hits = materialise(search.search(c.vectors, search.Model("tfidf", weights)), "hits")
     return search.with_snippets(
-        hits, c.docs, search.matched_terms(hits, c.query_tokens, weights)
+        hits, c.docs, search.matched_terms(hits, c.query_tokens, weights), c.queries
     )
 
 

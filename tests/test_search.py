@@ -109,6 +109,29 @@ def test_dense_search_against_brute_force(spark, cells):
         assert [r.doc_id for r in mine] == expected
 
 
+@pytest.mark.parametrize("held", [20_000, 7])
+def test_dense_ranking_is_complete(spark, held):
+    rng = np.random.default_rng(3)
+    rows = [(i // 2, v.tolist()) for i, v in enumerate(rng.normal(size=(90, 5)))]
+    chunks = spark.createDataFrame(rows, "doc_id bigint, vector array<double>")
+    asked = rng.normal(size=(31, 5))
+    q = spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(asked)], "query_id bigint, vector array<double>"
+    )
+    got = {(r.query_id, r.doc_id): r.score for r in search.dense_scores(q, chunks, held=held).collect()}
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    best = (unit(asked) @ unit(np.array([v for _, v in rows])).T).reshape(31, 45, 2).max(axis=2)
+    assert len(got) == 31 * 45
+    assert all(abs(best[i, d] - s) < 1e-6 for (i, d), s in got.items())
+    full = search.ranking_of(q, search.Model("dense_embedding", chunks))
+    assert sorted(r["rank"] for r in full.filter("query_id = 3").collect()) == list(range(1, 46))
+
+
+def test_unknown_model_kind():
+    with pytest.raises(ValueError, match="model kind"):
+        search.search(None, search.Model("psychic", None))
+
+
 def test_missing_vectors_are_counted(spark):
     docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id bigint")
     chunks = spark.createDataFrame(
