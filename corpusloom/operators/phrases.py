@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.functions.text import normalise_phrase
-from corpusloom.operators.skew import fits, lookup_join
 
-# Commands that are tried on each transcript in its row; more of them are found by their anchors.
-INLINE_COMMANDS = 1_000
+# Characters of phrases in one search automaton; longer lists are searched block by block.
+BLOCK_CHARS = 8_000_000
 
 
 def _prepared(commands: DataFrame) -> DataFrame:
@@ -26,118 +28,75 @@ def match_commands(
     transcripts: DataFrame,
     commands: DataFrame,
     by_language: bool = False,
-    inline: int = INLINE_COMMANDS,
+    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """``(id, command_order, action)``: the first command whose phrase the transcript contains.
 
     Transcripts without a match, and blank ones, keep their row with nulls. Compares normalised
-    texts. Both ways below are exact.
+    texts. Phrases of any length and number are found by reading a transcript once per block of
+    phrases, without a shuffle; a block, the one thing broadcast, has about ``block_chars``
+    characters (or one longer phrase).
     """
-    heard = transcripts.withColumn("_heard", normalise_phrase(F.col("text")))
     ready = _prepared(commands)
-    if fits(commands, inline):
-        return _match_inline(heard, ready, by_language)
-    return _match_anchored(heard, ready, by_language)
-
-
-def _match_inline(heard: DataFrame, ready: DataFrame, by_language: bool) -> DataFrame:
-    listed = ready.agg(
-        F.array_sort(
-            F.collect_list(F.struct("command_order", "action", "phrase", "language"))
-        ).alias("a")
-    ).scalar()
-    tried = heard.withColumn("_commands", listed)
-    match = lambda c: F.contains(F.col("_heard"), c["phrase"]) & (
-        (c["language"] == F.col("language")) if by_language else F.lit(True)
-    )
-    hit = F.when(
-        F.col("_heard") != "", F.try_element_at(F.filter("_commands", match), F.lit(1))
-    )
-    return tried.withColumn("_hit", hit).select(
-        "id", F.col("_hit.command_order").alias("command_order"), F.col("_hit.action").alias("action")
-    )
-
-
-def _match_anchored(heard: DataFrame, ready: DataFrame, by_language: bool) -> DataFrame:
-    """Meet on anchors: the first 2^k characters of a phrase of 2^k to 2^(k+1)-1 characters.
-
-    Each place of a transcript offers its anchor with as many characters as the longest phrase
-    with an anchor of that size can have, so a match is decided without the transcript.
-    """
-    nonempty = heard.filter("_heard <> ''")
-    size = F.lit(1)
-    for k in range(1, 16):
-        size = F.when(F.length("phrase") >= (1 << k), F.lit(1 << k)).otherwise(size)
-    anchored = ready.filter("phrase <> ''").withColumn("size", size).withColumn(
-        "anchor", F.expr("left(phrase, size)")
-    )
-    if by_language:
-        keys = ["size", "anchor", "language"]
-    else:
-        keys, anchored = ["size", "anchor"], anchored.drop("language")
-    sizes = [r["size"] for r in anchored.select("size").distinct().collect()]  # at most 16
-    found = None
-    for k in sizes:
-        keep = ["id", *(["language"] if by_language else [])]
-        places = _windows(nonempty, keep, 2 * k - 1).filter(F.length("window") >= k)
-        places = places.withColumn("anchor", F.substring("window", 1, k)).withColumn(
-            "size", F.lit(k)
-        )
-        met = lookup_join(places, anchored.filter(F.col("size") == k), keys, ["id", "window"], "inner")
-        part = met.filter(F.startswith("window", F.col("phrase"))).select(
-            "id", "command_order", "action"
-        )
-        found = part if found is None else found.unionByName(part)
-    # an empty phrase is part of every transcript
-    blank = ready.filter("phrase = ''").groupBy("language").agg(
-        F.min(F.struct("command_order", "action")).alias("c")
-    )
-    if by_language:
-        everywhere = nonempty.join(F.broadcast(blank), "language").select("id", "c.*")
-    else:
-        first = blank.agg(F.min("c").alias("c")).scalar()
-        everywhere = nonempty.withColumn("c", first).filter("c is not null").select("id", "c.*")
-    found = everywhere if found is None else found.unionByName(everywhere)
-    best = found.groupBy("id").agg(F.min(F.struct("command_order", "action")).alias("c"))
-    return heard.select("id").join(best, "id", "left").select(
-        "id", F.col("c.command_order").alias("command_order"), F.col("c.action").alias("action")
-    )
-
-
-def _windows(heard: DataFrame, keep: list[str], width: int) -> DataFrame:
-    """``(*keep, window)``: the ``width`` characters from every place of each text, less at its end.
-
-    The text is cut into short pieces first: characters of a long string are found by counting
-    from its start, which would make the work quadratic in the length of a text.
-    """
-    piece = max(256, width)
-    pieces = F.regexp_extract_all("_heard", F.lit("(?s).{1,%d}" % piece), F.lit(0))
-    cut = heard.select(*keep, pieces.alias("_pieces")).select(
-        *keep,
-        F.inline(
-            F.transform(
-                "_pieces",
-                lambda p, i: F.struct(
-                    F.length(p).alias("_n"),
-                    F.concat(
-                        p,
-                        F.coalesce(
-                            F.substring(F.get("_pieces", i + 1), 1, width - 1), F.lit("")
-                        ),
-                    ).alias("_text"),
-                ),
-            )
-        ),
-    )
-    return cut.select(
-        *keep,
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.col("_n")),
-                lambda i: F.substring(F.col("_text"), i, F.lit(width)),
-            )
-        ).alias("window"),
+    spark = transcripts.sparkSession
+    total = ready.agg(F.sum(F.length("phrase") + 1)).first()[0] or 0
+    blocks = max(1, -(-total // block_chars))
+    language = F.col("language") if by_language else F.lit(None).cast("string")
+    out = transcripts.select(
+        "id",
+        language.alias("language"),
+        normalise_phrase(F.col("text")).alias("heard"),
+        F.lit(None).cast("bigint").alias("command_order"),
+        F.lit(None).cast("string").alias("action"),
     )
+    block = F.pmod(F.xxhash64("phrase"), F.lit(blocks))
+    for number in range(blocks):
+        rows = ready.filter(block == number).collect()
+        found: dict[str, dict] = {}
+        for r in rows:
+            key = r["language"] if by_language else None
+            best = found.setdefault(r["phrase"], {}).get(key)
+            if best is None or r["command_order"] < best[0]:
+                found[r["phrase"]][key] = (r["command_order"], r["action"])
+        shared = spark.sparkContext.broadcast(found)
+        out = out.mapInArrow(_search(shared), out.schema)
+    return out.select("id", "command_order", "action")
+
+
+def _search(shared):
+    """A pass over transcripts that keeps the first command so far or puts an earlier one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        phrases = shared.value
+        automaton = ahocorasick.Automaton()
+        for phrase, by_key in phrases.items():
+            if phrase:
+                automaton.add_word(phrase, by_key)
+        everywhere = phrases.get("")  # an empty phrase is part of every transcript
+        automaton.make_automaton()
+        for batch in batches:
+            orders, actions = [], []
+            columns = (batch.column(c).to_pylist() for c in ("language", "heard", "command_order", "action"))
+            for language, heard, order, action in zip(*columns):
+                best = None if order is None else (order, action)
+                if heard:
+                    hits = (v for _, v in automaton.iter(heard)) if len(automaton) else ()
+                    for by_key in (everywhere, *hits) if everywhere else hits:
+                        candidate = by_key.get(language)
+                        if candidate and (best is None or candidate[0] < best[0]):
+                            best = candidate
+                order, action = best or (None, None)
+                orders.append(order)
+                actions.append(action)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("language"), batch.column("heard"),
+                 pa.array(orders, pa.int64()), pa.array(actions, pa.string())],
+                names=["id", "language", "heard", "command_order", "action"],
+            )
+
+    return run
 
 
 def medians(df: DataFrame, group: list[str], value: str, width: float) -> DataFrame:

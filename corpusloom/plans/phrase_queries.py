@@ -59,8 +59,8 @@ def match_command_by_language(spark, sf):
 
 @query("match_many_commands", _match_sql())
 def match_many_commands(spark, sf):
-    """The same matches by anchors, as taken for long command lists."""
-    return ph.match_commands(_transcripts(spark, sf), commands_of(spark, sf), inline=0)
+    """The same matches from several blocks of phrases, as taken for long command lists."""
+    return ph.match_commands(_transcripts(spark, sf), commands_of(spark, sf), block_chars=1000)
 
 
 @query(
