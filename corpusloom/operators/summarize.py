@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -16,10 +14,6 @@ from corpusloom.operators.skew import lookup_join
 DAMPING, ITERATIONS, TOLERANCE = 0.85, 100, 1e-4
 SUMMARY_SENTENCES, TOP_KEYWORDS = 10, 15
 
-# Rows of a sentence graph kept in memory at once by one task.
-_BLOCK = 1024
-_KEEP_SENTENCES = 4096
-
 
 def position_weights(spans: DataFrame) -> DataFrame:
     """``1 - start / length`` in the document and in the paragraph; 1 for a length of 0."""
@@ -66,60 +60,71 @@ def rank_algorithmic(spans: DataFrame, sentence_terms: DataFrame, total: Column)
 
 
 class _Graph:
-    """Similarities between the sentences of one document, made row block by row block."""
+    """Similarities between the sentences of one document, never written out pair by pair.
+
+    The similarity of two sentences depends on shared terms and on their two numbers of terms. What
+    flows to a sentence is therefore summed term by term, apart for each number of terms: memory
+    and time follow the occurrences of terms, not the pairs of sentences.
+    """
 
     def __init__(self, sentences):
+        sets = [set(s) for s in sentences]
+        self.n = len(sets)
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
         codes: dict[str, int] = {}
-        self.terms = [
-            np.array([codes.setdefault(t, len(codes)) for t in set(s)], dtype=np.int64)
-            for s in sentences
+        self.terms = np.array(
+            [codes.setdefault(t, len(codes)) for s in sets for t in s], dtype=np.int64
+        )
+        self.owners = np.repeat(np.arange(self.n), self.sizes)
+        self.n_terms = len(codes)
+        self.logs = np.log(self.sizes + 1.0)
+        # occurrences apart by the size of their sentence
+        self.classes = [
+            (float(np.log(size + 1.0)), np.flatnonzero(self.sizes[self.owners] == size))
+            for size in np.unique(self.sizes[self.sizes > 0])
         ]
-        self.n = len(self.terms)
-        self.logs = np.log(np.array([len(t) for t in self.terms]) + 1.0)
-        holders: list[list[int]] = [[] for _ in codes]
-        for i, terms in enumerate(self.terms):
-            for t in terms:
-                holders[t].append(i)
-        self.holders = [np.array(h) for h in holders]
-        self._kept = [] if self.n <= _KEEP_SENTENCES else None
-
-    def _block(self, first: int) -> np.ndarray:
-        last = min(first + _BLOCK, self.n)
-        shared = np.zeros((last - first, self.n))
-        for i in range(first, last):
-            if len(self.terms[i]):
-                met = np.concatenate([self.holders[t] for t in self.terms[i]])
-                shared[i - first] = np.bincount(met, minlength=self.n)
-            shared[i - first, i] = 0.0
-        size = self.logs[first:last, None] + self.logs[None, :]
-        return np.divide(shared, size, out=np.zeros_like(shared), where=size > 0)
-
-    def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
-        if self._kept:
-            yield from self._kept
-            return
-        for first in range(0, self.n, _BLOCK):
-            block = (first, self._block(first))
-            if self._kept is not None:
-                self._kept.append(block)
-            yield block
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """For every sentence the sum of the others' values times their similarity to it."""
+        out = np.zeros(self.n)
+        for log, places in self.classes:
+            given = np.bincount(
+                self.terms[places], weights=values[self.owners[places]], minlength=self.n_terms
+            )
+            met = np.bincount(self.owners, weights=given[self.terms], minlength=self.n)
+            out += met / np.maximum(log + self.logs, 1e-300)
+        own = np.divide(self.sizes, 2 * self.logs, out=np.zeros(self.n), where=self.sizes > 0)
+        return np.where(self.sizes > 0, np.maximum(out - values * own, 0.0), 0.0)
 
     def degrees(self) -> tuple[np.ndarray, np.ndarray]:
-        degree, strength = np.zeros(self.n, dtype=np.int64), np.zeros(self.n)
-        for first, w in self.blocks():
-            degree[first : first + len(w)] = (w > 0).sum(axis=1)
-            strength[first : first + len(w)] = w.sum(axis=1)
+        """Number of similar sentences, and the sum of similarities."""
+        order = np.argsort(self.terms, kind="stable")
+        holders = np.split(
+            self.owners[order], np.cumsum(np.bincount(self.terms, minlength=self.n_terms))[:-1]
+        )
+        starts = np.cumsum(self.sizes) - self.sizes
+        degree = np.zeros(self.n, dtype=np.int64)
+        met = np.zeros(self.n, dtype=bool)
+        for i in np.flatnonzero(self.sizes).tolist():
+            for t in self.terms[starts[i] : starts[i] + self.sizes[i]].tolist():
+                met[holders[t]] = True
+            degree[i] = np.count_nonzero(met) - 1
+            met[:] = False
+        strength = self.spread(np.ones(self.n))
+        strength[degree == 0] = 0.0
         return degree, strength
 
     def rank(self, damping: float, iterations: int, tolerance: float) -> np.ndarray:
         if self.n <= 1:
             return np.ones(self.n)
-        _, out = self.degrees()
+        # a sentence whose terms are all its own has no neighbours; rounding must not give it any
+        shared = np.bincount(self.terms, minlength=self.n_terms)[self.terms] > 1
+        linked = np.bincount(self.owners, weights=shared, minlength=self.n) > 0
+        out = np.where(linked, self.spread(np.ones(self.n)), 0.0)
         scores = np.full(self.n, 1.0 / self.n)
         for _ in range(iterations):
             passed = np.divide(scores, out, out=np.zeros(self.n), where=out > 0)
-            # similarities are symmetric, so a row block is a column block as well
-            incoming = np.concatenate([w @ passed for _, w in self.blocks()])
+            incoming = np.where(linked, self.spread(passed), 0.0)
             fresh = (1 - damping) / self.n + damping * incoming
             change = np.abs(fresh - scores).sum()
             scores = fresh
@@ -179,18 +184,18 @@ def textrank(
 
 
 def centrality(sentence_vectors: DataFrame) -> DataFrame:
-    """Cosine of every sentence vector to the mean vector of its document."""
-    grouped = sentence_vectors.groupBy("doc_id").agg(
-        F.collect_list(F.struct("sent", "vector")).alias("s"), F.count(F.lit(1)).alias("n")
-    )
-    first = F.col("s")[0]["vector"]
-    total = F.aggregate(
-        F.slice("s", 2, F.size("s")),
-        first,
-        lambda acc, v: F.zip_with(acc, v["vector"], lambda a, b: a + b),
+    """Cosine of every sentence vector to the mean vector of its document.
+
+    Means are taken per dimension, so no task gathers the vectors of a document.
+    """
+    dims = sentence_vectors.select("doc_id", F.posexplode("vector").alias("i", "x"))
+    means = dims.groupBy("doc_id", "i").agg(F.avg("x").alias("m"))
+    centroids = means.groupBy("doc_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda d: d["m"]).alias(
+            "centroid"
+        )
     )
-    centred = grouped.withColumn("centroid", F.transform(total, lambda x: x / F.col("n")))
-    return centred.select("doc_id", "centroid", F.inline("s")).select(
+    return sentence_vectors.join(centroids, "doc_id").select(
         "doc_id", "sent", cosine(F.col("vector"), F.col("centroid")).alias("weight")
     )
 

@@ -59,10 +59,13 @@ def semi_join(spark, sf):
 
 @query(
     "anti_join",
-    "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    """SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN
+    (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
 )
 def anti_join(spark, sf):
-    customers, orders = read_table(spark, sf, "customer"), read_table(spark, sf, "orders")
+    """Customers without any urgent order."""
+    customers = read_table(spark, sf, "customer")
+    orders = read_table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'")
     return customers.join(orders, customers.c_custkey == orders.o_custkey, "left_anti").select(
         "c_custkey", "c_name"
     )

@@ -74,10 +74,17 @@ def refresh_documents(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return merged.unionByName(anonymous.select(merged.columns))
 
 
-def replace_results(results: DataFrame, path: str, run: str = "run_id") -> None:
-    """Write results so that a run present in them replaces its earlier rows only."""
+def replace_results(
+    results: DataFrame, path: str, run: str = "run_id", files_per_run: int = 8
+) -> None:
+    """Write results so that a run present in them replaces its earlier rows only.
+
+    Rows are dealt by run and a few shares of it, so a run has at most ``files_per_run`` files and
+    a large one is still written by several tasks.
+    """
+    share = F.pmod(F.xxhash64(*[c for c in results.columns if c != run]), F.lit(files_per_run))
     (
-        results.write.option("partitionOverwriteMode", "dynamic")
+        results.repartition(run, share).write.option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
         .partitionBy(run)
         .parquet(path)
