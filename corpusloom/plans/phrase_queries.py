@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.functions.edit_distance import word_errors
 from corpusloom.operators import phrases as ph
 from corpusloom.plans import sql
 from corpusloom.plans.catalog import query, r6
@@ -65,14 +66,17 @@ def match_many_commands(spark, sf):
 
 @query(
     "matching_report",
-    sql.with_(*COMMAND_SQL)
+    sql.with_(*COMMAND_SQL, *sql.WORD_ERRORS)
     + rf""", t AS (SELECT conv_id, turn, role AS kind, 'v' || (conv_id % 3) AS voice,
-        {sql.phrase('text')} AS heard, length(text) AS chars FROM conversations),
+        {sql.phrase('text')} AS heard, length(text) AS chars, coalesce(e.errors, len(w)) AS errors
+        FROM turn_words LEFT JOIN (SELECT conv_id, turn, errors FROM word_errors) e
+        USING (conv_id, turn)),
     m AS (SELECT t.conv_id, t.turn, kind, voice, any_value(chars) AS chars,
+        any_value(errors) AS errors,
         any_value(heard) AS heard, min(command_order) AS matched FROM t LEFT JOIN commands
         ON is_active AND contains(heard, phrase) GROUP BY ALL),
     r AS (SELECT kind, voice, matched, CASE WHEN turn % 2 = 0 THEN coalesce(matched, 1) END
-        AS expected, chars % 4 AS errors, len(list_filter(string_split(heard, ' '),
+        AS expected, errors, len(list_filter(string_split(heard, ' '),
         lambda w: w <> '')) AS ref_words, chars * 2.5::DOUBLE AS ms FROM m)
     SELECT kind, voice, count(*) AS n, count(*) FILTER (expected = matched) AS hits,
     round(coalesce(count(*) FILTER (expected = matched)::DOUBLE / nullif(count(expected), 0), 0),
@@ -85,19 +89,24 @@ def match_many_commands(spark, sf):
     FROM r GROUP BY kind, voice""",
 )
 def matching_report(spark, sf):
+    """Turns as transcripts of what the next turn says; the last turn is heard as nothing."""
     turns = read_table(spark, sf, "conversations").withColumn(
         "id", F.concat_ws(":", "conv_id", "turn")
     )
     hits = ph.match_commands(turns.select("id", "text"), commands_of(spark, sf))
-    heard = F.split(T.normalise_phrase(F.col("text")), " ")
+    heard = F.filter(F.split(T.normalise_phrase(F.col("text")), " "), lambda w: w != "")
+    said = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), heard.alias("hyp"))
+    turns = turns.withColumn("w", heard).join(said, ["conv_id", "turn"], "left").withColumn(
+        "hyp", F.coalesce("hyp", F.array().cast("array<string>"))
+    )
     chars = F.length("text")
     results = turns.join(hits, "id").select(
         F.col("role").alias("kind"),
         F.concat(F.lit("v"), F.col("conv_id") % 3).alias("voice"),
         F.col("command_order").alias("matched"),
         F.when(F.col("turn") % 2 == 0, F.coalesce("command_order", F.lit(1))).alias("expected"),
-        (chars % 4).alias("errors"),
-        F.size(F.filter(heard, lambda w: w != "")).alias("ref_words"),
+        word_errors("w", "hyp").alias("errors"),
+        F.size("w").alias("ref_words"),
         (chars * 2.5).alias("ms"),
     ).withColumn("seconds", F.col("ref_words") * 0.4)
     out = ph.matching_report(results, ["kind", "voice"])

@@ -80,3 +80,18 @@ QRELS = (
     *shingles("benchmark", "item_id", "qsh"),
     "qrels AS (SELECT DISTINCT q.id AS query_id, d.id AS doc_id FROM qsh q JOIN dsh d USING (s))",
 )
+
+# Word errors of each turn against the next one of its conversation: a row of edit distances is
+# folded over the words of the turn, and insertions run along it as a running minimum.
+WORD_ERRORS = (
+    f"""turn_words AS (SELECT conv_id, turn, role, text, list_filter(string_split(
+        {phrase('text')}, ' '), lambda x: x <> '') AS w FROM conversations)""",
+    """turn_pairs AS (SELECT a.conv_id, a.turn, a.role, a.text, a.w, b.w AS h FROM turn_words a
+        JOIN turn_words b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)""",
+    """word_errors AS (SELECT conv_id, turn, role, text, w, list_reduce(list_prepend(
+        range(0, len(h) + 1), list_transform(w, lambda x: list_transform(h,
+        lambda y: (x <> y)::BIGINT))), lambda r, c: list_transform([list_prepend(r[1] + 1,
+        list_transform(c, lambda d, j: least(r[j + 1] + 1, r[j] + d)))], lambda b:
+        list_transform(b, lambda v, j: list_min(list_transform(b[1:j], lambda u, k: u - k)) + j)
+        )[1])[-1] AS errors FROM turn_pairs)""",
+)

@@ -141,7 +141,31 @@ def chunk_text(spark, sf):
     return tok.chunks(read_texts(spark, sf, "documents"))
 
 
-@query("pack_sentences")
+_FLUSHED = "CASE WHEN {a}.open = '' THEN {a}.done ELSE list_append({a}.done, {a}.open) END"
+_JOINED = "CASE WHEN acc.open = '' THEN s.open ELSE acc.open || ' ' || s.open END"
+
+
+@query(
+    "pack_sentences",
+    rf"""WITH flat AS (SELECT doc_id, {sql.squeeze('text')} AS t FROM documents),
+    cut AS (SELECT doc_id, t, list_filter(list_transform(regexp_extract_all(regexp_replace(t,
+        '([.!?]+)(\s|$)', '\1' || chr(10) || '\2', 'g'), '[^.!?\n]+[.!?]+\n|[^.!?\n]+$'),
+        lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS found FROM flat),
+    parts AS (SELECT doc_id, CASE WHEN len(found) > 0 THEN found WHEN t <> '' THEN [t]
+        ELSE [] END AS p FROM cut),
+    packed AS (SELECT doc_id, list_reduce(list_prepend(
+        {{'done': []::VARCHAR[], 'open': ''}},
+        list_transform(p, lambda x: {{'done': []::VARCHAR[], 'open': x}})),
+        lambda acc, s: CASE WHEN length(s.open) > 240
+        THEN {{'done': ({_FLUSHED.format(a='acc')}) || list_transform(
+            range(1, length(s.open) + 1, 240), lambda i: substr(s.open, i, 240)), 'open': ''}}
+        WHEN acc.open <> '' AND length({_JOINED}) > 120
+        THEN {{'done': ({_FLUSHED.format(a='acc')}), 'open': s.open}}
+        ELSE {{'done': acc.done, 'open': {_JOINED}}} END) AS r FROM parts),
+    pieces AS (SELECT doc_id, {_FLUSHED.format(a='r')} AS x FROM packed)
+    SELECT doc_id, (generate_subscripts(x, 1) - 1)::INT AS piece_index, unnest(x) AS piece
+    FROM pieces""",
+)
 def pack_sentences(spark, sf):
     docs = read_texts(spark, sf, "documents")
     return docs.select(
@@ -188,7 +212,14 @@ def normalise_phrase(spark, sf):
     )
 
 
-@query("word_error_rate")
+@query(
+    "word_error_rate",
+    sql.with_(*sql.WORD_ERRORS)
+    + """SELECT role, count(*) AS pairs, sum(errors)::BIGINT AS errors,
+    round(avg(errors / greatest(len(w), 1)), 6) AS mean_rate,
+    round(sum(errors) / greatest(sum(len(w)), 1), 6) AS pooled_rate
+    FROM word_errors GROUP BY role""",
+)
 def word_error_rate(spark, sf):
     """Each turn against the next one of its conversation, and the pooled rate per role."""
     turns = read_table(spark, sf, "conversations").select(
