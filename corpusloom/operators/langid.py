@@ -48,9 +48,9 @@ def out_of_place_distances(
     w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "term")
     ranks = counts.select("doc_id", "term", (F.row_number().over(w) - 1).alias("doc_rank"))
     by_term = profiles.groupBy("term").agg(F.collect_list(F.struct("lang", "rank")).alias("in"))
-    # profiles hold at most top_n words per language
+    # profiles hold at most top_n words per language, but languages may be many
     gains = (
-        ranks.join(F.broadcast(by_term), "term")
+        lookup_join(ranks, by_term, ["term"], ["doc_id"], "inner")
         .select("doc_id", "doc_rank", F.inline("in"))
         .groupBy("doc_id", "lang")
         .agg(F.sum(F.abs(F.col("rank") - F.col("doc_rank")) - penalty).alias("gain"))
@@ -65,7 +65,7 @@ def alphabet_distances(docs: DataFrame, profiles: DataFrame) -> DataFrame:
         F.collect_list(F.struct("lang", F.col("freq").alias("expected"))).alias("in")
     )
     gains = (
-        letters.join(F.broadcast(by_letter), "letter", "left")
+        lookup_join(letters, by_letter, ["letter"], ["doc_id"])
         .select("doc_id", "freq", F.inline_outer("in"))
         .groupBy("doc_id", "lang")
         .agg(

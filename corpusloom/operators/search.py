@@ -12,49 +12,42 @@ from pyspark.sql import DataFrame, functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import similarity, weighting
 from corpusloom.operators.ranking import DEFAULT_TOP_K, full_ranking, top_k
-from corpusloom.operators.skew import first_per_key, fits, last_per_key
+from corpusloom.operators.skew import first_per_key, fits, last_per_key, lookup_join
 
 # Most products (queries x chunk vectors) computed at once, and chunk vectors held by a task.
 MATRIX_CELLS = 4_000_000
 HELD_VECTORS = 20_000
 
 
-def query_vectors(
-    query_tokens: DataFrame, dfs: DataFrame, total, bound: DataFrame | None = None
-) -> DataFrame:
+def query_vectors(query_tokens: DataFrame, dfs: DataFrame, total) -> DataFrame:
     """TF-IDF vectors of queries over the known vocabulary with live statistics.
 
-    Terms in every document weigh 0 and drop out. When ``bound``, the query table, is counted to
-    be small, the terms of the queries thin out the postings before they are counted.
+    Terms in every document weigh 0 and drop out. When the terms of the queries are counted to be
+    few, they thin out the postings before these are counted.
     """
     tf = weighting.term_frequencies(query_tokens, "query_id")
-    asked = tf.select("term").distinct()
-    if bound is not None and fits(bound):
-        asked = F.broadcast(asked)
+    asked = _few(tf.select("term").distinct())
     idfs = weighting.inverse_document_frequencies(dfs.join(asked, "term", "left_semi"), total)
-    raw = tf.join(idfs, "term").select(
+    # a term of all queries would meet in one task
+    raw = lookup_join(tf, idfs, ["term"], ["query_id"], "inner").select(
         "query_id", "term", (F.col("tf") * F.col("idf")).alias("weight")
     )
     return weighting.normalise(raw, "query_id").filter(F.col("weight") != 0)
 
 
-def tfidf_search(
-    vectors: DataFrame, weights: DataFrame, bound: DataFrame | None = None
-) -> DataFrame:
+def tfidf_search(vectors: DataFrame, weights: DataFrame) -> DataFrame:
     """``(query_id, doc_id, score)`` for documents sharing a weighted term with the query."""
-    dots = similarity.dot_products(vectors, weights, bound)
+    dots = similarity.dot_products(vectors, weights)
     return dots.select("query_id", "doc_id", F.col("dot").alias("score"))
 
 
-def rank_candidates(
-    vectors: DataFrame, docs: DataFrame, candidates: DataFrame, bound: DataFrame | None = None
-) -> DataFrame:
+def rank_candidates(vectors: DataFrame, docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """Cosine for every candidate pair, zeros included.
 
     Candidates take their query's terms along before they meet the documents, so no pair that was
     not asked for is ever scored.
     """
-    asked = _few(vectors.select("query_id", "term", F.col("weight").alias("q_weight")), bound)
+    asked = _few(vectors.select("query_id", "term", F.col("weight").alias("q_weight")))
     pairs = candidates.select("query_id", "doc_id")
     dots = (
         pairs.join(asked, "query_id")
@@ -62,7 +55,7 @@ def rank_candidates(
         .groupBy("query_id", "doc_id")
         .agg(F.sum(F.col("weight") * F.col("q_weight")).alias("dot"))
     )
-    own = _few(similarity.norms(vectors, "query_id").withColumnRenamed("norm", "q_norm"), bound)
+    own = _few(similarity.norms(vectors, "query_id").withColumnRenamed("norm", "q_norm"))
     size = F.col("q_norm") * F.col("d_norm")
     found = (
         dots.join(similarity.norms(docs, "doc_id").withColumnRenamed("norm", "d_norm"), "doc_id")
@@ -74,7 +67,7 @@ def rank_candidates(
     )
 
 
-def _few(df: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+def _few(df: DataFrame) -> DataFrame:
     """The table, broadcast where it is counted to be small."""
     return F.broadcast(df) if fits(df) else df
 

@@ -4,33 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.operators.skew import SALTS, fits
+from corpusloom.operators.skew import fits, lookup_join
 
-# Longest query vectors, in rows, that may be sent whole to every executor.
+# Most rows of query vectors that may be sent whole to every executor.
 QUERY_ROWS = 500_000
 
 
-def _join_on_term(
-    queries: DataFrame, docs: DataFrame, bound: DataFrame | None, rows: int = QUERY_ROWS
-) -> DataFrame:
+def _join_on_term(queries: DataFrame, docs: DataFrame, rows: int = QUERY_ROWS) -> DataFrame:
     """Meet query and document weights on the term.
 
-    With few queries the document table is not moved at all. Otherwise both sides shuffle on
-    (term, salt): the documents are spread over salts and the shorter query side is repeated.
+    With few query terms the document table is not moved at all. Otherwise both sides shuffle on
+    the term, and only terms of very many documents are spread.
     """
-    if fits(queries if bound is None else bound, rows):
-        return docs.join(F.broadcast(queries), "term")
-    salted = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    copies = queries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, ["term", "_salt"]).drop("_salt")
+    return lookup_join(docs, queries, ["term"], ["doc_id"], "inner", rows=rows)
 
 
-def dot_products(
-    queries: DataFrame, docs: DataFrame, bound: DataFrame | None = None
-) -> DataFrame:
+def dot_products(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """``(query_id, doc_id, dot, shared)`` for every pair that shares a term."""
     q = queries.select("query_id", "term", F.col("weight").alias("q_weight"))
-    pairs = _join_on_term(q, docs.select("doc_id", "term", "weight"), bound)
+    pairs = _join_on_term(q, docs.select("doc_id", "term", "weight"))
     return pairs.groupBy("query_id", "doc_id").agg(
         F.sum(F.col("weight") * F.col("q_weight")).alias("dot"),
         F.count(F.lit(1)).alias("shared"),
@@ -43,18 +35,15 @@ def norms(vectors: DataFrame, key: str) -> DataFrame:
     )
 
 
-def cosine_similarities(
-    queries: DataFrame, docs: DataFrame, bound: DataFrame | None = None
-) -> DataFrame:
+def cosine_similarities(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """Cosine of every pair that shares a term; 0 when a norm is 0."""
-    dots = dot_products(queries, docs, bound)
+    dots = dot_products(queries, docs)
     qn = norms(queries, "query_id").withColumnRenamed("norm", "q_norm")
     dn = norms(docs, "doc_id").withColumnRenamed("norm", "d_norm")
     size = F.col("q_norm") * F.col("d_norm")
-    small = fits(queries if bound is None else bound, QUERY_ROWS)
     return (
         dots.join(dn, "doc_id")
-        .join(F.broadcast(qn) if small else qn, "query_id")
+        .join(F.broadcast(qn) if fits(qn) else qn, "query_id")
         .select(
             "query_id",
             "doc_id",

@@ -22,21 +22,30 @@ def lookup_join(
     on: Sequence[str],
     spread: Sequence[str],
     how: str = "left",
-    bound: DataFrame | None = None,
     rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join facts to a lookup table without letting a hot key land in one task.
 
-    The lookup is broadcast when it, or ``bound`` (a cheap table that limits its size), is
-    counted to be small. Otherwise the facts are spread over ``salts`` copies of each key by the
-    columns named in ``spread`` and the lookup is repeated once per salt.
+    The lookup is broadcast when it is counted to be small. Otherwise both sides shuffle, and
+    keys of more than a thousandth of the facts, of which there are at most a thousand, are
+    spread: their facts over ``salts`` by the columns named in ``spread``, their lookup rows
+    repeated once per salt. No other lookup row is repeated.
     """
-    if fits(lookup if bound is None else bound, rows):
+    if fits(lookup, rows):
         return facts.join(F.broadcast(lookup), list(on), how)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    share = facts.count() / 1000
+    hot = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > share)
+    hot = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
+    dealt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    salted = facts.join(hot, list(on), "left").withColumn(
+        "_salt", F.when(F.col("_hot"), dealt).otherwise(0)
+    )
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+        F.array(F.lit(0))
+    )
+    copies = lookup.join(hot, list(on), "left").withColumn("_salt", F.explode(every))
+    return salted.drop("_hot").join(copies.drop("_hot"), [*on, "_salt"], how).drop("_salt")
 
 
 def join_term_stats(
@@ -46,8 +55,8 @@ def join_term_stats(
 
     Terms found in more than ``share`` of the documents are few by arithmetic: their document
     frequencies add up to at most the number of postings, so there are at most (terms per
-    document / share) of them however large the corpus is. They are broadcast. Their postings
-    get a scattered hash in the shuffle join of the remaining terms, so no task receives them all.
+    document / share) of them however large the corpus is. They are broadcast once they are
+    counted, since long documents could make them many. Their postings get a scattered hash in the shuffle join of the remaining terms, so no task receives them all.
     """
     values = [c for c in stats.columns if c != term]
     # the constant floor keeps the hot list tiny on small inputs too
@@ -59,7 +68,7 @@ def join_term_stats(
     cold = stats.filter(~frequent).select(
         F.xxhash64(term).alias("_h"), term, F.struct(*values).alias("_cold")
     ).hint("shuffle_hash")
-    tagged = postings.join(F.broadcast(hot), term, "left").withColumn(
+    tagged = postings.join(F.broadcast(hot) if fits(hot) else hot, term, "left").withColumn(
         "_h",
         F.when(F.col("_hot").isNull(), F.xxhash64(term)).otherwise(F.xxhash64(*postings.columns)),
     )

@@ -22,7 +22,6 @@ def lemma_terms(
     tokens: DataFrame,
     stop_words: DataFrame,
     form_lemma: DataFrame,
-    lemma_bound: DataFrame | None = None,
 ) -> DataFrame:
     """Drop stop words and replace forms by lower-cased lemmas, per language.
 
@@ -31,7 +30,7 @@ def lemma_terms(
     """
     spread = [c for c in tokens.columns if c not in ("lang", "term")]
     kept = lookup_join(tokens, stop_words, ["lang", "term"], spread, how="left_anti")
-    mapped = lookup_join(kept, form_lemma, ["lang", "term"], spread, bound=lemma_bound)
+    mapped = lookup_join(kept, form_lemma, ["lang", "term"], spread)
     return mapped.withColumn("term", F.lower(F.coalesce("lemma", "term"))).drop("lemma")
 
 

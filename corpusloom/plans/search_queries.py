@@ -15,10 +15,6 @@ from corpusloom.plans.index_queries import postings_of
 from corpusloom.sources.shared import materialise
 from corpusloom.sources.tables import read_table, read_texts
 
-# Benchmark texts are short; this many of them stay far below the broadcast limit in terms.
-BENCHMARK_ROWS = 20_000
-
-
 def benchmark_queries(spark, sf):
     return read_table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id")
 
@@ -50,11 +46,13 @@ class Corpus:
 
     @cached_property
     def vectors(self):
-        return search.query_vectors(self.query_tokens, self.dfs, self.total, self.queries)
+        # written, since they are counted before they are sent anywhere
+        found = search.query_vectors(self.query_tokens, self.dfs, self.total)
+        return materialise(found, "query-vectors")
 
     def scores(self, vectors=None):
         return search.tfidf_search(
-            self.vectors if vectors is None else vectors, self.weights, bound=self.queries
+            self.vectors if vectors is None else vectors, self.weights
         )
 
 
@@ -80,8 +78,6 @@ def shared_shingles(docs, queries):
             ["shingle"],
             ["doc_id"],
             how="inner",
-            bound=queries,
-            rows=BENCHMARK_ROWS,
         )
         .select("query_id", "doc_id")
         .distinct()
@@ -103,7 +99,7 @@ def relevance_judgments(spark, sf):
 def sparse_dot_products(spark, sf):
     c = Corpus(spark, sf)
     binary = wt.binary_vectors(c.query_tokens, "query_id")
-    out = sim.dot_products(binary, c.weights, bound=c.queries)
+    out = sim.dot_products(binary, c.weights)
     return out.select("query_id", "doc_id", r6(F.col("dot"), "dot"), "shared")
 
 
@@ -132,7 +128,7 @@ def euclidean_norms(spark, sf):
 def cosine_similarities(spark, sf):
     c = Corpus(spark, sf)
     binary = wt.binary_vectors(c.query_tokens, "query_id")
-    out = sim.cosine_similarities(binary, c.weights, bound=c.queries)
+    out = sim.cosine_similarities(binary, c.weights)
     return out.select("query_id", "doc_id", r6(F.col("score"), "score"))
 
 
@@ -174,7 +170,7 @@ def rank_candidates(spark, sf):
     candidates = c.docs.select(
         (F.col("doc_id") % wt.row_count(c.queries)).alias("query_id"), "doc_id"
     )
-    scored = search.rank_candidates(c.vectors, c.weights, candidates, bound=c.queries)
+    scored = search.rank_candidates(c.vectors, c.weights, candidates)
     return ranking.full_ranking(scored)
 
 

@@ -17,21 +17,22 @@ def vectors(spark, key, data):
 
 @pytest.fixture(scope="module")
 def tokens(spark):
-    rows = [(1, t) for t in ("cat", "cat", "dog")] + [(2, t) for t in ("dog", "fish")] + [(3, "cat")]
+    texts = {4: "elm elm elm oak", 8: "oak ivy", 9: "oak", 12: "ivy fern"}
+    rows = [(d, t) for d, text in texts.items() for t in text.split()]
     return spark.createDataFrame(rows, "doc_id bigint, term string")
 
 
 def test_statistics_and_weights(spark, tokens):
     tf = wt.term_frequencies(tokens)
     dfs = wt.document_frequencies(tf)
-    assert {r.term: r.df for r in dfs.collect()} == {"cat": 2, "dog": 2, "fish": 1}
-    weights = wt.tfidf_vectors(tf, F.lit(3)).collect()
-    for doc in (1, 2, 3):
+    assert {r.term: r.df for r in dfs.collect()} == {"elm": 1, "oak": 3, "ivy": 2, "fern": 1}
+    weights = wt.tfidf_vectors(tf, F.lit(4)).collect()
+    for doc in (4, 8, 9, 12):
         assert sum(r.weight**2 for r in weights if r.doc_id == doc) == pytest.approx(1)
-    raw = wt.raw_weights(tf, wt.inverse_document_frequencies(dfs, F.lit(3)), F.lit(3))
-    assert {(r.doc_id, r.term): r.weight for r in raw.collect()}[(1, "cat")] == pytest.approx(
-        2 * math.log(3 / 2)
-    )
+    raw = wt.raw_weights(tf, wt.inverse_document_frequencies(dfs, F.lit(4)), F.lit(4))
+    found = {(r.doc_id, r.term): r.weight for r in raw.collect()}
+    assert found[(4, "elm")] == pytest.approx(3 * math.log(4))
+    assert found[(8, "ivy")] == pytest.approx(math.log(2))
 
 
 def test_a_term_everywhere_weighs_nothing(spark):
@@ -53,10 +54,10 @@ def test_modified_weight(spark):
 
 
 def test_similarities(spark):
-    docs = vectors(spark, "doc_id", {1: {"cat": 1, "dog": 2}, 2: {"cat": 3}, 3: {"fish": 1}})
-    queries = vectors(spark, "query_id", {7: {"cat": 1}})
+    docs = vectors(spark, "doc_id", {1: {"oak": 2, "elm": 1}, 2: {"oak": 5}, 3: {"ivy": 1}})
+    queries = vectors(spark, "query_id", {7: {"oak": 1}})
     got = {r.doc_id: r.score for r in sim.cosine_similarities(queries, docs).collect()}
-    assert got == {1: pytest.approx(1 / math.sqrt(5)), 2: pytest.approx(1.0)}
+    assert got == {1: pytest.approx(2 / math.sqrt(5)), 2: pytest.approx(1.0)}
     candidates = spark.createDataFrame([(7, 1), (7, 2), (7, 3)], "query_id bigint, doc_id bigint")
     ranked = ranking.full_ranking(search.rank_candidates(queries, docs, candidates))
     order = [(r.doc_id, r.score) for r in ranked.orderBy("rank").collect()]
@@ -73,8 +74,8 @@ def test_similarities(spark):
 def test_salted_term_join_equals_broadcast(spark):
     docs = vectors(spark, "doc_id", {i: {"hot": 1, f"t{i % 7}": 2} for i in range(200)})
     queries = vectors(spark, "query_id", {q: {"hot": 1, f"t{q}": 1} for q in range(7)})
-    small = sim._join_on_term(queries.withColumnRenamed("weight", "w"), docs, None)
-    salted = sim._join_on_term(queries.withColumnRenamed("weight", "w"), docs, None, rows=0)
+    small = sim._join_on_term(queries.withColumnRenamed("weight", "w"), docs)
+    salted = sim._join_on_term(queries.withColumnRenamed("weight", "w"), docs, rows=0)
     key = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
     assert key(small) == key(salted)
 
@@ -161,12 +162,12 @@ def run(spark, ranked, relevant, extra=()):
 
 
 def test_measures(spark):
-    m = ev.run_measures(*run(spark, [1, 2, 3, 4, 5], [2, 4, 5])).first()
-    assert m.average_precision == pytest.approx((0.5 + 0.5 + 0.6) / 3)
-    assert m.r_precision == pytest.approx(1 / 3)
-    assert m.precision_at_5 == pytest.approx(0.6)
-    m = ev.run_measures(*run(spark, [1, 2, 3, 4], [1, 3])).first()
-    assert (m.precision_at_5, m.precision_at_10, m.recall_at_5) == (0.4, 0.2, 1.0)
+    m = ev.run_measures(*run(spark, [11, 12, 13, 14, 15, 16], [11, 13, 16, 99])).first()
+    assert m.average_precision == pytest.approx((1 + 2 / 3 + 3 / 6) / 4)
+    assert m.r_precision == pytest.approx(2 / 4)
+    assert m.precision_at_5 == pytest.approx(0.4)
+    m = ev.run_measures(*run(spark, [21, 22, 23], [22])).first()
+    assert (m.precision_at_5, m.precision_at_10, m.recall_at_5) == (0.2, 0.1, 1.0)
     m = ev.run_measures(*run(spark, [1, 2], [], [1])).first()
     assert (m.precision_at_5, m.recall_at_5, m.average_precision, m.f1_at_5) == (0, 0, 0, 0)
     assert (m.retrieved, m.relevant) == (2, 0)

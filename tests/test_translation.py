@@ -98,16 +98,16 @@ def transfer(spark, lookup, forms, *sentences):
 
 def test_direct(spark, lookup):
     tokens = spark.createDataFrame(
-        annotate(1, "The|the|DET|det|1 cat|cat|NOUN|nsubj|2 runs|run|VERB|ROOT|- ~.|.|PUNCT|punct|2"),
+        annotate(1, "Red|red|ADJ|amod|1 cars|car|NOUN|nsubj|2 eat|eat|VERB|ROOT|- ~!|!|PUNCT|punct|2"),
         TOKENS,
     )
     known = tr.with_translation(tokens, lookup)
     row = tr.with_coverage(tr.direct_translate(known)).first()
-    assert row.translated_text == "Le chat courir."
+    assert row.translated_text == "Rouge voiture avoir!"
     assert (row.word_count, row.translated_word_count, row.coverage) == (3, 3, 1.0)
     words = tr.word_list(known).orderBy("rank").collect()
     assert [(w.lemma, w.surface, w.translation) for w in words] == [
-        ("cat", "cat", "chat"), ("run", "runs", "courir"),
+        ("red", "red", "rouge"), ("car", "cars", "voiture"), ("eat", "eat", "avoir"),
     ]
 
 
