@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from corpusloom.operators import (
@@ -30,6 +32,11 @@ class Translation:
         self.lookup = an.lookup_of(spark, self.tokens)
         self.known = tr.with_translation(self.tokens, self.lookup)
 
+    @cached_property
+    def stored(self):
+        """The translated tokens, written once for rules that read them several times."""
+        return materialise(self.known.repartition("doc_id"), "translated")
+
     def lexicons(self):
         return an.lexicons_of(self.spark, self.lookup)
 
@@ -368,7 +375,7 @@ TRANSFER_SQL = (*BASE_SQL, *RENDER_SQL, *CONTRACT_SQL, *ELIDE_SQL, *JOIN_SQL)
 )
 def transfer_translate(spark, sf):
     t = Translation(spark, sf)
-    return tf.transfer_translate(t.tokens, t.lookup, *t.lexicons(), translated=t.known)
+    return tf.transfer_translate(t.tokens, t.lookup, *t.lexicons(), translated=t.stored)
 
 
 @query("diff_against_direct")
@@ -377,7 +384,7 @@ def diff_against_direct(spark, sf):
     direct = tr.direct_translate(t.known).select(
         "doc_id", F.col("translated_text").alias("direct_text")
     )
-    transfer = tf.transfer_translate(t.tokens, t.lookup, *t.lexicons(), translated=t.known)
+    transfer = tf.transfer_translate(t.tokens, t.lookup, *t.lexicons(), translated=t.stored)
     both = transfer.join(direct, "doc_id")
     return both.select(
         "doc_id", tf.diff_segments("direct_text", "translated_text").alias("segments")
