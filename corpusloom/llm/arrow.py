@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -65,15 +66,19 @@ class UnitCache:
     def codes_of(self, units: list[str]) -> np.ndarray:
         """The place of every unit in the table, new ones being encoded first."""
         known = self.codes
-        fresh = [unit for unit in units if unit not in known]
-        if fresh:
+        codes = np.fromiter(map(known.get, units, repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero(codes < 0)
+        if len(new):
+            fresh = [units[i] for i in new.tolist()]
             ids, lengths = self.encode(fresh)
             base = len(self.starts)
             known.update(zip(fresh, range(base, base + len(fresh))))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+            codes[new] = np.arange(base, base + len(fresh))
+            starts = len(self.ids) + np.cumsum(lengths) - lengths
+            self.starts = np.concatenate([self.starts, starts])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.ids = np.concatenate([self.ids, ids])
-        return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+        return codes
 
     def ids_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the coded units end to end, and the number of ids per unit."""

@@ -67,26 +67,34 @@ class Encoder:
         live = np.arange(blocks)
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         while len(live):
-            steps.append((live, at[live]))
-            at[live] += _COUNTS[choice[live, at[live]]]
-            live = live[at[live] < size[live]]
+            here = at[live]
+            steps.append((live, here))
+            here = here + _COUNTS[choice[live, here]]
+            at[live] = here
+            live = live[here < size[live]]
+        # the word of step t is the t-th of its block
         block = np.concatenate([s[0] for s in steps])
         place = np.concatenate([s[1] for s in steps])
-        order = np.argsort(block, kind="stable")
+        n_words = np.bincount(block, minlength=blocks).astype(np.int64)
+        step = np.repeat(np.arange(len(steps)), [len(s[0]) for s in steps])
+        order = np.empty(len(block), np.int64)
+        order[(np.cumsum(n_words) - n_words)[block] + step] = np.arange(len(block))
         block, place = block[order], place[order]
         selector = choice[block, place]
         first = block * BLOCK + place
         words = selector.astype(np.uint64) << _ID_BITS
-        limit = np.minimum((block + 1) * BLOCK, n)
         for s, (count, width) in SELECTORS.items():
             rows = np.flatnonzero(selector == s)
+            if len(rows) == 0:
+                continue
+            # what lies past the end of a block is cut to the width and skipped by the decoder
+            mask, index = np.uint64((1 << width) - 1), first[rows]
+            packed = words[rows]
             for k in range(count):
-                index = first[rows] + k
-                value = np.where(index < limit[rows], padded[index], np.uint64(0))
-                words[rows] |= value << np.uint64(k * width)
+                packed |= (padded[index + k] & mask) << np.uint64(k * width)
+            words[rows] = packed
         escaped = np.flatnonzero(selector == ESCAPE)
         n_escapes = np.bincount(block[escaped], minlength=blocks).astype(np.int64)
-        n_words = np.bincount(block, minlength=blocks).astype(np.int64)
         if len(escaped) == 0:
             return words, n_words, n_escapes
         out = np.zeros(len(words) + len(escaped), np.uint64)
@@ -114,8 +122,7 @@ def _greedy_selectors(bits: np.ndarray) -> np.ndarray:
     choice = np.zeros(bits.shape, np.uint8)
     for s in sorted(SELECTORS, reverse=True):  # fewest ids first, so the most ids win
         count, width = SELECTORS[s]
-        fits = widest(count) <= width
-        choice[fits] = s
+        np.copyto(choice, s, where=widest(count) <= width)
     return choice
 
 

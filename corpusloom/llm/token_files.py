@@ -106,7 +106,7 @@ class Tokenizer:
         )
 
 
-_MARKS = tuple(".,;:!?")
+_MARKS = frozenset(".,;:!?")
 
 
 class TokenFile:
