@@ -31,7 +31,9 @@ LONG_HEX = r"[0-9a-f]{24,}"
 MIN_ASSIGNED = 6
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+# An equals sign belongs to a token as padding at its end only, so that a key before one is split
+# off; base32 pads with up to six.
+TOKEN = r"[A-Za-z0-9+/_-]{20,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 DIGITS = "0123456789"
@@ -143,7 +145,7 @@ def battery(token: Column) -> Column:
     """
     body = F.regexp_replace(token, "=+$", "")
     alphabet = F.coalesce(
-        *[F.when(token.rlike(pattern), F.lit(letters)) for _, pattern, letters in ENCODINGS]
+        *[F.when(body.rlike(pattern), F.lit(letters)) for _, pattern, letters in ENCODINGS]
     )
     parts = F.struct(
         body.alias("body"),

@@ -582,6 +582,23 @@ def test_random_tokens_are_added_and_words_are_not(spark):
     assert not [i for i in range(100, 300) if spans[i]]
 
 
+@pytest.mark.parametrize(
+    "form, padding",
+    [("see {}== end", 2), ("see {}=\nend", 1), ("AWS_SECRET_ACCESS_KEY={} end", 0), ("a?sig={}=&b=1", 1)],
+)
+def test_padded_and_assigned_tokens_are_added(spark, form, padding):
+    rnd = random.Random(5)
+    letters = secret_scan.DIGITS + secret_scan.UPPER + secret_scan.LOWER + "+/"
+    keys = ["".join(rnd.choices(letters, k=44)) for _ in range(20)]
+    rows = [(i, form.format(k)) for i, k in enumerate(keys)]
+    rows += [(100 + i, f"see {WORDS}{i} or CamelCaseClassName{i}Factory") for i in range(200)]
+    found = secret_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    spans = {r["doc_id"]: r["spans"] for r in found}
+    start = form.index("{")
+    assert sum(spans[i] == f"random:{start}:{start + 44 + padding}" for i in range(20)) >= 18
+    assert not [i for i in range(100, 300) if spans[i]]
+
+
 def test_masking(spark):
     rows = [(1, "x password=abcdef123 y"), (2, None), (3, "clean"), (4, "token = '" + "ab12" * 8 + "' z")]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "5 AS extra")
