@@ -5,9 +5,10 @@ Everything here is DataFrame functions inside a row; no row is shuffled.
 The patterns find assignments, access keys and hexadecimal strings. Other tokens of letters and
 digits are tested by the alphabet of the encoding they seem to have: uniformity of its letters
 (chi-squared), runs of letter classes, and serial correlation of neighbouring letters. Each
-statistic is measured against what written words give at that length, and the three are added
-with an allowance for their dependence. Tokens compete within their length class: the
-Benjamini-Hochberg threshold of each class is taken from the counts over the whole table.
+statistic is measured against what written words give in that alphabet at that length, and the
+three are added with an allowance for their dependence. Tokens that touch no pattern compete within
+their length class: the Benjamini-Hochberg threshold of each class is taken from the counts over the
+whole table.
 
 Defined results: a null text is empty; an empty text has no spans; rows are kept as they are,
 repeated ones and those without an id too; an empty table gives no rows; other columns of the
@@ -37,25 +38,26 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 DIGITS = "0123456789"
-# Encodings by the letters a token uses, narrowest first: name, pattern, alphabet.
+# Written words in an alphabet: chance that two letters are equal, chance that the class changes from
+# one letter to the next, serial correlation of letter places, and what the sum of the three distances
+# is divided by. Set from names of corpus words and numbers (of words like "decade" for base 16), 3,000
+# for each alphabet and length from 20 to 64, so that at most one in a thousand has p below 0.001.
+NARROW = (0.115, 0.15, 0.8, 2.0)
+SINGLE = (0.06, 0.11, 0.35, 1.7)
+JOINED = (0.055, 0.28, 0.5, 2.2)
+# Encodings by the letters a token uses, narrowest first: name, pattern, alphabet, written words.
 ENCODINGS = (
-    ("hex", "^[0-9a-f]+$", DIGITS + "abcdef"),
-    ("HEX", "^[0-9A-F]+$", DIGITS + "ABCDEF"),
-    ("base32", "^[A-Z2-7]+$", UPPER + "234567"),
-    ("base36", "^[0-9a-z]+$", DIGITS + LOWER),
-    ("BASE36", "^[0-9A-Z]+$", DIGITS + UPPER),
-    ("base62", "^[0-9A-Za-z]+$", DIGITS + UPPER + LOWER),
-    ("base64", "^[0-9A-Za-z+/]+$", DIGITS + UPPER + LOWER + "+/"),
-    ("base64url", "^[0-9A-Za-z_-]+$", DIGITS + UPPER + LOWER + "_-"),
+    ("hex", "^[0-9a-f]+$", DIGITS + "abcdef", NARROW),
+    ("HEX", "^[0-9A-F]+$", DIGITS + "ABCDEF", NARROW),
+    ("base32", "^[A-Z2-7]+$", UPPER + "234567", (0.062, 0.11, 0.45, 1.7)),
+    ("base36", "^[0-9a-z]+$", DIGITS + LOWER, SINGLE),
+    ("BASE36", "^[0-9A-Z]+$", DIGITS + UPPER, SINGLE),
+    ("base62", "^[0-9A-Za-z]+$", DIGITS + UPPER + LOWER, (0.05, 0.25, 0.7, 1.9)),
+    ("base64", "^[0-9A-Za-z+/]+$", DIGITS + UPPER + LOWER + "+/", JOINED),
+    ("base64url", "^[0-9A-Za-z_-]+$", DIGITS + UPPER + LOWER + "_-", JOINED),
 )
-# Written words: chance that two letters are equal, that the class changes from one letter to
-# the next, and serial correlation of letter places; the last two are set high and low so that
-# mixed names such as file paths count as written.
-WORD_REPEAT = 0.062
-WORD_CHANGE = 0.25
-WORD_SERIAL = 0.45
 # Allowed share of false discoveries, and how unlike a random token may be in any one test.
-FALSE_SHARE = 1e-4
+FALSE_SHARE = 5e-2
 MAX_DEVIATION = 3.5
 
 _BLOCK = 256
@@ -144,18 +146,29 @@ def battery(token: Column) -> Column:
     largest distance, in standard deviations, from what a random token of the encoding gives.
     """
     body = F.regexp_replace(token, "=+$", "")
-    alphabet = F.coalesce(
-        *[F.when(body.rlike(pattern), F.lit(letters)) for _, pattern, letters in ENCODINGS]
+    names = ("repeat", "change", "serial", "spread")
+    encoding = F.coalesce(
+        *[
+            F.when(
+                body.rlike(pattern),
+                F.struct(
+                    F.lit(letters).alias("alphabet"),
+                    *[F.lit(x).alias(name) for name, x in zip(names, words)],
+                ),
+            )
+            for _, pattern, letters, words in ENCODINGS
+        ]
     )
     parts = F.struct(
         body.alias("body"),
         F.split(body, "").alias("letters"),
         F.length(body).cast("double").alias("n"),
-        alphabet.alias("alphabet"),
-        F.length(alphabet).cast("double").alias("k"),
+        encoding["alphabet"].alias("alphabet"),
+        F.length(encoding["alphabet"]).cast("double").alias("k"),
+        encoding.alias("words"),
     )
     tested = token.rlike("[0-9]") & token.rlike("[A-Za-z]") & (F.length(body) >= 20)
-    return F.when(tested & alphabet.isNotNull(), _let(parts, _measured))
+    return F.when(tested & encoding.isNotNull(), _let(parts, _measured))
 
 
 def _measured(t: Column) -> Column:
@@ -191,26 +204,26 @@ def _measured(t: Column) -> Column:
             F.aggregate(products, F.lit(0.0), lambda a, x: a + x) / ((n - 1) * (k * k - 1) / 12)
         ).alias("serial"),
     )
-    return _let(measures, lambda m: _judged(n, k, m))
+    return _let(measures, lambda m: _judged(n, k, m, t["words"]))
 
 
-def _judged(n: Column, k: Column, m: Column) -> Column:
+def _judged(n: Column, k: Column, m: Column, words: Column) -> Column:
     df = k - 1
     # uniformity: against a random token, and against words, whose letters repeat more often
     even = (F.cbrt(m["chi"] / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    excess = (n - 1) * F.greatest(k * WORD_REPEAT - 1, F.lit(0.5))
+    excess = (n - 1) * (k * words["repeat"] - 1)
     uniform = (df + excess - m["chi"]) / F.sqrt(2 * df + 4 * excess)
     # runs of letter classes
     random_runs = (m["changes"] - (n - 1) * m["change"]) / F.sqrt(
         (n - 1) * m["change"] * (1 - m["change"])
     )
-    runs = (m["changes"] - (n - 1) * WORD_CHANGE) / F.sqrt(
-        F.lit((1 - WORD_CHANGE) * WORD_CHANGE) * (n - 1)
+    runs = (m["changes"] - (n - 1) * words["change"]) / F.sqrt(
+        (n - 1) * words["change"] * (1 - words["change"])
     )
     # serial correlation of places in the alphabet
     random_serial = m["serial"] * F.sqrt(n - 1)
-    unlike = (WORD_SERIAL - m["serial"]) * F.sqrt(n - 1)
-    combined = (uniform + runs + unlike) / F.lit(6.0**0.5)
+    unlike = (words["serial"] - m["serial"]) * F.sqrt(n - 1)
+    combined = (uniform + runs + unlike) / words["spread"]
     return F.struct(
         n.cast("int").alias("length"),
         normal_tail(combined).alias("p"),
@@ -226,14 +239,18 @@ def length_class(length: Column) -> Column:
 
 
 def discovery_thresholds(docs: DataFrame, text: str = "text") -> dict[int, float]:
-    """Largest p accepted per length class, from the counts of all tokens of all texts.
+    """Largest p accepted per length class, from the counts of the tokens of all texts that touch
+    no base span: what a pattern finds is no discovery, and would loosen the threshold of the rest.
 
     Counts are kept per class and hundredth of a decade of p: a few thousand rows at most.
     """
-    tested = _tokens(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))).select(
-        F.explode(F.transform("found", battery)).alias("b")
+    texts = docs.select(F.col(text).alias("text")).filter(F.col("text").rlike(TOKEN))
+    tested = _searched(texts, "text").select(
+        F.explode(F.transform("_free", lambda s: battery(s["token"]))).alias("b")
     )
-    grade = F.floor(F.least(F.lit(30.0), -F.log10(F.greatest("b.p", F.lit(1e-30)))) * 100)
+    # a token too unlike a random one is never added, whatever its p
+    p = F.when(F.col("b.deviation") <= MAX_DEVIATION, F.col("b.p")).otherwise(1.0)
+    grade = F.floor(F.least(F.lit(30.0), -F.log10(F.greatest(p, F.lit(1e-30)))) * 100)
     counts = (
         tested.filter("b is not null")
         .groupBy(length_class(F.col("b.length")).alias("class"), grade.alias("grade"))
@@ -254,21 +271,11 @@ def discovery_thresholds(docs: DataFrame, text: str = "text") -> dict[int, float
     return thresholds
 
 
-def _tokens(docs: DataFrame) -> DataFrame:
-    found = F.when(
-        F.col("text").rlike(TOKEN), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
-    )
-    return docs.select(found.alias("found")).filter("found is not null")
-
-
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The table with ``_spans``: array<struct<start, kind, end>> in order, kind by its place in
-    ``KINDS``, of all base spans and of those the tests add beside them."""
-    thresholds = discovery_thresholds(docs, text)
+def _searched(docs: DataFrame, text: str) -> DataFrame:
+    """The table with ``_base``, the base spans in order as array<struct<start, kind, end>>, and
+    ``_free``, the tokens that touch none of them as array<struct<start, end, token>>."""
     out = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    patterns = {0: ASSIGN, 1: LONG_ACCESS, 2: LONG_HEX}
-    if thresholds:
-        patterns[3] = TOKEN
+    patterns = {0: ASSIGN, 1: LONG_ACCESS, 2: LONG_HEX, 3: TOKEN}
     for k, pattern in patterns.items():
         found, gaps = matches(F.col("_text"), pattern)
         out = out.withColumns({f"_m{k}": found, f"_g{k}": gaps})
@@ -285,17 +292,26 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     base = F.concat(*[_of_kind(F.col(f"_s{k}"), k) for k in (0, 1, 2)])
     out = out.withColumn("_base", F.array_sort(base))
+    free = F.filter(
+        "_s3",
+        lambda s: ~F.exists("_base", lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])),
+    )
+    return out.withColumn("_free", free).drop("_text", *[f"_s{k}" for k in patterns])
+
+
+def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The table with ``_spans``: array<struct<start, kind, end>> in order, kind by its place in
+    ``KINDS``, of all base spans and of those the tests add beside them."""
+    thresholds = discovery_thresholds(docs, text)
+    out = _searched(docs, text)
     more = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     if thresholds:
-        more = F.when(F.size("_s3") > 0, _added(F.col("_s3"), F.col("_base"), thresholds)).otherwise(
-            more
-        )
-    out = out.withColumn("_spans", F.array_sort(F.concat("_base", more)))
-    return out.drop("_text", *[f"_s{k}" for k in patterns])
+        more = F.when(F.size("_free") > 0, _added(F.col("_free"), thresholds)).otherwise(more)
+    return out.withColumn("_spans", F.array_sort(F.concat("_base", more))).drop("_free")
 
 
-def _added(tokens: Column, base: Column, thresholds: dict[int, float]) -> Column:
-    """Tokens that pass the battery and touch no base span."""
+def _added(free: Column, thresholds: dict[int, float]) -> Column:
+    """The tokens that pass the battery."""
     limits = F.create_map(*[F.lit(x) for pair in thresholds.items() for x in pair])
 
     def passes(s: Column) -> Column:
@@ -303,10 +319,6 @@ def _added(tokens: Column, base: Column, thresholds: dict[int, float]) -> Column
         limit = F.element_at(limits, length_class(b["length"]))
         return F.coalesce((b["p"] <= limit) & (b["deviation"] <= MAX_DEVIATION), F.lit(False))
 
-    free = F.filter(
-        tokens,
-        lambda s: ~F.exists(base, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])),
-    )
     return _of_kind(F.filter(free, passes), 3)
 
 

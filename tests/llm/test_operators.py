@@ -599,6 +599,27 @@ def test_padded_and_assigned_tokens_are_added(spark, form, padding):
     assert not [i for i in range(100, 300) if spans[i]]
 
 
+def test_short_and_single_case_tokens_are_added(spark):
+    rnd = random.Random(6)
+    upper = secret_scan.DIGITS + secret_scan.UPPER
+    kinds = [(upper + secret_scan.LOWER, 24), (upper, 40), (upper[:16], 40)]
+    keys = [["".join(rnd.choices(letters, k=n)) for _ in range(30)] for letters, n in kinds]
+    rows = [(1000 * k + i, f"key {t} end") for k, of_kind in enumerate(keys) for i, t in enumerate(of_kind)]
+    rows += [
+        (5000 + i, f"see CamelCaseClassName{i}Factory or QUARTERLYREPORT{i}INTERNATIONALCONF or 2024fileversion{i}final")
+        for i in range(1500)
+    ]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.scan(frame).collect()}
+    for k, (_, n) in enumerate(kinds):
+        assert sum(spans[1000 * k + i] == f"random:4:{4 + n}" for i in range(30)) >= 24
+    assert not [i for i in range(5000, 6500) if spans[i]]
+    # what a pattern finds already does not loosen the threshold
+    hashes = [(9000 + i, hashlib.sha1(b"%d" % i).hexdigest()) for i in range(500)]
+    more = frame.union(spark.createDataFrame(hashes, frame.schema))
+    assert secret_scan.discovery_thresholds(more) == secret_scan.discovery_thresholds(frame)
+
+
 def test_masking(spark):
     rows = [(1, "x password=abcdef123 y"), (2, None), (3, "clean"), (4, "token = '" + "ab12" * 8 + "' z")]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "5 AS extra")
