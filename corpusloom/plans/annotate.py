@@ -1,4 +1,4 @@
-"""Annotated tokens, a dictionary and lexicons derived from the English documents.
+"""Annotated tokens of documents, and a dictionary and lexicons derived from the English ones.
 
 The parser and the dictionary files that feed translation elsewhere are input data. Here plain
 rules over the corpus stand in for them, so that the translation operators run on whole texts.
@@ -31,41 +31,52 @@ CURATED = [
 ]
 
 
-def tokens_of(spark, sf):
-    """The annotated token table of the English documents."""
-    docs = scan_documents(read_texts(spark, sf, "documents"), language="en")
+def tokens_of(spark, sf, language="en"):
+    """The annotated token table of the documents of a language, or of all documents for None.
+
+    Stop words are those of the document's own language; lists of English words hold for English.
+    """
+    docs = scan_documents(read_texts(spark, sf, "documents"), language=language)
     parts = F.arrays_zip(
         F.regexp_extract_all(T.strip(F.col("text")), F.lit(TOKEN_PATTERN), F.lit(1)).alias("text"),
         F.regexp_extract_all(T.strip(F.col("text")), F.lit(TOKEN_PATTERN), F.lit(2)).alias("ws"),
     )
-    rows = docs.select("doc_id", F.posexplode(parts).alias("i", "p")).select(
-        "doc_id", "i", F.col("p.text").alias("text"), F.col("p.ws").alias("trailing_ws")
+    rows = docs.select("doc_id", "lang", F.posexplode(parts).alias("i", "p")).select(
+        "doc_id", "lang", "i", F.col("p.text").alias("text"), F.col("p.ws").alias("trailing_ws")
     )
     w = Window.partitionBy("doc_id").orderBy("i")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     ends = F.when(F.col("text").isin(".", "!", "?"), 1).otherwise(0)
-    stops = lexicon.STOP_WORDS["en"].split()
     form = F.lower("text")
+
+    def of(language, words):
+        return F.col("lang").eqNullSafe(F.lit(language)) & form.isin(words)
+
+    stop = F.lit(False)
+    for name, words in lexicon.STOP_WORDS.items():
+        stop = stop | of(name, words.split())
+    auxiliary = of("en", ["is", "are", "was", "were", "be"])
+    adposition = of("en", ["of", "in", "on", "for", "with", "at", "from", "to", "as"])
     plural = F.endswith(form, F.lit("s")) & (F.length(form) >= 4)
     rows = (
         rows.withColumn("sent_id", F.coalesce(F.sum(ends).over(before), F.lit(0)).cast("int"))
         .withColumn("is_alpha", F.col("text").rlike(r"^\p{L}+$"))
-        .withColumn("is_stop", form.isin(stops))
+        .withColumn("is_stop", stop)
     )
     capital = (F.substring("text", 1, 1) != F.lower(F.substring("text", 1, 1))) & F.col(
         "sent_id"
     ).eqNullSafe(F.lag("sent_id").over(w))
     rows = rows.withColumn(
         "lemma",
-        F.when(form.isin("is", "are", "was", "were", "be"), F.lit("do"))
+        F.when(auxiliary, F.lit("do"))
         .when(plural & ~F.col("is_stop"), F.expr("left(lower(text), length(text) - 1)"))
         .otherwise(form),
     ).withColumn(
         "pos",
         F.when(~F.col("is_alpha"), F.lit("PUNCT"))
-        .when(form.isin("is", "are", "was", "were", "be"), F.lit("AUX"))
-        .when(form == "by", F.lit("PART"))
-        .when(form.isin("of", "in", "on", "for", "with", "at", "from", "to", "as"), F.lit("ADP"))
+        .when(auxiliary, F.lit("AUX"))
+        .when(of("en", ["by"]), F.lit("PART"))
+        .when(adposition, F.lit("ADP"))
         .when(F.col("is_stop"), F.lit("DET"))
         .when(capital, F.lit("PROPN"))
         .when(F.length("lemma") % 3 == 0, F.lit("NOUN"))

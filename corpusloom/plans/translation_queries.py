@@ -497,12 +497,14 @@ def candidate_phrases(spark, sf):
 
 @query("keyword_hierarchy")
 def keyword_hierarchy(spark, sf):
-    """Root keywords of each English document with their phrases."""
-    tokens = materialise(an.tokens_of(spark, sf), "tokens")
+    """Root keywords of each document with their phrases."""
+    # phrases and terms need no more of the annotation than this
+    needed = ["doc_id", "i", "lemma", "pos", "is_alpha", "is_stop"]
+    tokens = materialise(an.tokens_of(spark, sf, language=None).select(needed), "tokens")
     terms = tokens.filter("is_alpha and not is_stop").select(
         "doc_id", F.lower("lemma").alias("term")
     )
-    docs = scan_documents(read_table(spark, sf, "documents"), language="en")
+    docs = read_table(spark, sf, "documents")
     postings = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     weights = materialise(wt.modified_weights(postings, wt.row_count(docs)), "weights")
     keywords = sm.top_keywords(weights)
