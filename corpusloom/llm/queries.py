@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import (
     bpe,
+    fill_middle,
     fingerprints,
     language_id,
     neighbours,
     packing,
     secret_scan,
+    sentence_pieces,
     shingle_join,
+    token_alignment,
     token_files,
     toxicity,
     warc,
@@ -120,3 +123,32 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+def tokenizer_bytes(name: str) -> bytes:
+    with open(tokenizer_file(name), "rb") as file:
+        return file.read()
+
+
+@_query("op11_sentence_pieces")
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode_documents(
+        read_table(spark, sf_dir, "documents"), tokenizer_bytes("piece_bpe_32k.model")
+    )
+
+
+@_query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    return token_alignment.align_documents(
+        read_table(spark, sf_dir, "documents"),
+        tokenizer_text("byte_bpe_50k.json"),
+        PATTERN,
+        tokenizer_bytes("piece_bpe_32k.model"),
+    )
+
+
+@_query("op13_fill_middle")
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.with_digests(read_table(spark, sf_dir, "documents"))
