@@ -2,6 +2,7 @@
 
 import pytest
 
+from corpusloom.functions import word_blocks
 from corpusloom.operators import transfer as tf, translate as tr
 from corpusloom.sources import lexicons
 
@@ -158,19 +159,53 @@ def test_diff_segments(spark):
     assert rows[1] == []
 
 
-def test_kept_words_are_common_blocks():
-    """The blocks of the standard matcher, which takes them in the same order."""
+@pytest.mark.parametrize("few_pairs", [0, 40, 4096])
+def test_common_blocks_are_those_of_the_standard_matcher(few_pairs, monkeypatch):
     import difflib
     import random
 
+    monkeypatch.setattr(word_blocks, "_FEW_PAIRS", few_pairs)
     rnd = random.Random(6)
-    for _ in range(300):
-        old = rnd.choices("abcdef", k=rnd.randint(0, 25))
-        new = rnd.choices("abcdef", k=rnd.randint(0, 25))
-        want = [False] * len(new)
-        for block in difflib.SequenceMatcher(None, old, new, autojunk=False).get_matching_blocks():
-            want[block.b : block.b + block.size] = [True] * block.size
-        assert tf.kept_words(old, new).tolist() == want
+    for _ in range(400):
+        letters = "abcdefghijklmnopqrst"[: rnd.choice([2, 3, 6, 20])]
+        old = rnd.choices(letters, k=rnd.randint(0, 60))
+        new = [w for w in old if rnd.random() > 0.15] if rnd.random() < 0.6 else []
+        for _ in range(rnd.randint(0, 25)):
+            new.insert(rnd.randint(0, len(new)), rnd.choice(letters))
+        matcher = difflib.SequenceMatcher(None, old, new, autojunk=False)
+        want, got = [], []
+        for block in matcher.get_matching_blocks():
+            want += [(block.a + k, block.b + k) for k in range(block.size)]
+        for i, j, size in word_blocks.common_blocks(old, new):
+            got += [(i + k, j + k) for k in range(size)]
+        assert sorted(got) == want
+
+
+@pytest.mark.parametrize("kind", ["replaced", "every second", "shuffled", "two words", "one word"])
+def test_diff_of_long_documents_ends(spark, kind):
+    """Twenty thousand words within seconds, whatever they look like."""
+    import random
+    import time
+
+    rnd = random.Random(8)
+    old = [f"w{int(rnd.paretovariate(0.7))}" for _ in range(20_000)]
+    if kind == "replaced":
+        new = [w if rnd.random() > 0.1 else "other" for w in old]
+    elif kind == "every second":
+        new = [w if k % 2 else f"q{k}" for k, w in enumerate(old)]
+    elif kind == "shuffled":
+        new = rnd.sample(old, len(old))
+    else:
+        old, new = (rnd.choices("ab" if kind == "two words" else "a", k=20_000) for _ in "xy")
+    df = spark.createDataFrame([(" ".join(old), " ".join(new))], "a string, b string")
+    began = time.time()
+    segments = df.select(tf.diff_segments("a", "b")).first()[0]
+    assert time.time() - began < 20
+    assert "".join(s.text for s in segments) == " ".join(new)
+    kept = word_blocks.kept_words(old, new)
+    flags = [w for s in segments for w in [s.changed] * len(s.text.split())]
+    assert flags == (~kept).tolist()
+    assert all(x.changed != y.changed for x, y in zip(segments, segments[1:]))
 
 
 def test_segments_keep_every_character(spark):
