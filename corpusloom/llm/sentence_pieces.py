@@ -49,6 +49,9 @@ _BPE = 2
 _ODD_BLANKS = rf"^$|^ | $|  |{SPACE}"
 # Ids of units kept by a worker before its table is emptied.
 _KEPT_IDS = 4 << 20
+# Words (parts of units) kept; they are few beside the units, and costly to encode.
+_KEPT_WORDS = 600_000
+_PLAIN_SIGNS = frozenset(".,;:!?")
 
 
 class Model(NamedTuple):
@@ -193,7 +196,7 @@ class Encoder:
         self.merges = merges = merges or Merges(model)
         self.reversed = ahocorasick.Automaton()
         for piece, i in merges.symbols.items():
-            self.reversed.add_word(piece[::-1], (len(piece), i))
+            self.reversed.add_word(piece[::-1], i)
         self.reversed.make_automaton()
         self.byte_ids = [model.pieces.index(f"<0x{b:02X}>") for b in range(256)]
         self.letters = {c: i for c, i in merges.symbols.items() if i >= len(model.pieces)}
@@ -201,7 +204,16 @@ class Encoder:
         # a space mark behind another letter in no piece: cuts before such marks are exact
         self.cuttable = not any(regex.search(f"[^{SPACE}]{SPACE}", p) for p in merges.symbols)
         self.find_units = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        # likewise between letters and other signs, if no piece has one beside the other
+        word = r"\p{L}\p{M}"
+        beside = regex.search if self.cuttable else lambda *_: True
+        edge = f"[{word}][^{word}{SPACE}]|[^{word}{SPACE}][{word}]"
+        self.divisible = not any(beside(edge, p) for p in merges.symbols)
+        self.find_words = regex.compile(
+            f"{SPACE}*[{word}]+|{SPACE}*[^{word}{SPACE}]+|{SPACE}+"
+        ).findall
         self.units = UnitCache(self._encode_units)
+        self.words = UnitCache(self._encode_words, _KEPT_WORDS)
         self.known: dict[int, bool] = {}
         self._decoding_tables()
 
@@ -230,14 +242,16 @@ class Encoder:
         merges, known = self.merges, self.known
         other, size = merges.other, merges.other + 1
         n = len(text)
-        longest = [(1, other)] * n  # the longest piece that begins at each place
-        for end, found in self.reversed.iter(text[::-1]):
-            if found[0] >= longest[n - 1 - end][0]:
-                longest[n - 1 - end] = found
+        # the longest piece that begins at each place: of all that end at a place of the reversed
+        # text, which come from long to short, the first
+        longest = [other] * n
+        for end, symbol in self.reversed.iter(text[::-1]):
+            if longest[~end] == other:
+                longest[~end] = symbol
         failed = bytearray(n // 8 + 1)
         length, shorter, compatible = merges.length, merges.shorter, merges.compatible
         out: list[int] = []
-        at, symbol = 0, longest[0][1] if n else -1
+        at, symbol = 0, longest[0] if n else -1
         while at < n:
             last = out[-1] if out else -1
             while symbol >= 0:
@@ -255,7 +269,7 @@ class Encoder:
             if symbol >= 0:
                 out.append(symbol)
                 at = end
-                symbol = longest[at][1] if at < n else -1
+                symbol = longest[at] if at < n else -1
             else:
                 # nothing can follow here: take the last piece back and try a shorter one
                 failed[at >> 3] |= 1 << (at & 7)
@@ -267,6 +281,9 @@ class Encoder:
 
     def _ids(self, text: str) -> list[int]:
         """Ids of a text with marked spaces; letters without a piece are spelt in bytes."""
+        whole = self.merges.symbols.get(text, self.merges.other)
+        if whole < len(self.model.pieces):
+            return [whole]
         symbols = self.symbols_of(text)
         if max(symbols, default=0) < len(self.model.pieces):
             return symbols
@@ -281,6 +298,23 @@ class Encoder:
         return out
 
     def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.divisible:
+            return self._encode_words(units)
+        cut = [self._words_of(unit) for unit in units]
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        ids, lengths = self.words.ids_of(self.words.codes_of(list(chain.from_iterable(cut))))
+        return ids, sums_by_run(lengths, sizes)
+
+    def _words_of(self, unit: str) -> list[str] | tuple[str, ...]:
+        """The unit cut between letters and other signs; the plainest ones without a pattern."""
+        if unit[:1] == SPACE:
+            if unit[1:].isalpha():
+                return (unit,)
+            if unit[-1] in _PLAIN_SIGNS and unit[1:-1].isalpha():
+                return unit[:-1], unit[-1]
+        return self.find_words(unit)
+
+    def _encode_words(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [self._ids(unit) for unit in units]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
@@ -299,9 +333,10 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids of each."""
-        self.units.trim()
-        if len(self.units.ids) > _KEPT_IDS:
-            self.units = UnitCache(self._encode_units)
+        for cache in (self.units, self.words):
+            if len(cache.ids) > _KEPT_IDS:
+                cache.codes = dict.fromkeys(range(cache.limit + 1))  # full, whatever it holds
+            cache.trim()
         texts = pc.fill_null(texts, "")
         if self.cuttable and self.model.dummy_prefix:
             odd = np.asarray(pc.match_substring_regex(texts, _ODD_BLANKS))

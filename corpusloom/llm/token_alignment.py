@@ -38,8 +38,13 @@ from corpusloom.sources.shared import materialise
 BROADCAST_PAIRS = 400_000
 # Links of a group beyond which its tokens are reduced to distinct ones before they are paired.
 _LARGE_GROUP = 4096
-# A pair is coded in one number: the second id in the lower bits.
+# A pair is coded in one number: the second id in the lower bits. Both ids have less than 20 bits.
 SECOND_BITS = 20
+# Text handled at once: a text has many more numbers here (tokens, ends, links) than where it is
+# only encoded.
+_CHUNK_BYTES = 1 << 20
+# Units kept by each tokenizer (their parts are kept as well, so a unit is soon put together anew).
+_KEPT_UNITS = 150_000
 
 ALIGNED = (
     "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, "
@@ -99,37 +104,27 @@ class PieceTokens:
 # one text
 
 
-def runs(a: memoryview, b: memoryview) -> list[tuple[int, int, int]]:
+def runs(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     """Groups of two ascending sequences of ends, as runs (i, j, k).
 
     A run says that the groups end at (i, j), (i + 1, j + 1), ..., (i + k - 1, j + k - 1). Both
     sequences must end at the same byte.
     """
     out = []
+    note = out.append
     n, m = len(a), len(b)
-    i = shift = 0
+    i = j = 0  # the current shift is j - i
     while i < n:
-        # one to one: double the stretch while all its ends agree at this shift
-        j, step, start = i + shift, 1, i
-        while i < n and a[i : i + step] == b[j : j + step]:
-            taken = min(step, n - i)
-            i, j, step = i + taken, j + taken, 2 * step
-        if i < n:
-            # the first difference lies in the stretch that failed
-            low, high = 0, min(step, n - i, m - j)
-            while low < high:
-                half = (low + high + 1) // 2
-                if a[i + low : i + half] == b[j + low : j + half]:
-                    low = half
-                else:
-                    high = half - 1
-            i, j = i + low, j + low
-        if i > start:
-            out.append((start, start + shift, i - start))
-        if i >= n:
-            break
-        # irregular: walk to the next common end
         x, y = a[i], b[j]
+        if x == y:
+            known = 1
+            if i + 1 < n and a[i + 1] == b[j + 1]:
+                known = _agreeing(a, b, i, j, n, m)
+            note((i, j, known))
+            i += known
+            j += known
+            continue
+        # irregular: walk to the next common end, which gives the new shift
         while x != y:
             if x < y:
                 i += 1
@@ -137,11 +132,29 @@ def runs(a: memoryview, b: memoryview) -> list[tuple[int, int, int]]:
             else:
                 j += 1
                 y = b[j]
-        out.append((i, j, 1))
-        i, shift = i + 1, j - i
+        note((i, j, 1))
+        i += 1
+        j += 1
     return out
 
 
+def _agreeing(a: list[int], b: list[int], i: int, j: int, n: int, m: int) -> int:
+    """How many ends from i and j on agree: the stretch is doubled while all its ends do, and the
+    first difference is found by halving the stretch that failed."""
+    known = step = 2
+    while i + known < n and a[i + known : i + known + step] == b[j + known : j + known + step]:
+        known += min(step, n - i - known)
+        step *= 2
+    low, high = known, min(known + step - 1, n - i, m - j)
+    while low < high:
+        half = (low + high + 1) // 2
+        if a[i + low : i + half] == b[j + low : j + half]:
+            low = half
+        else:
+            high = half - 1
+    return low
+
+
 # a chunk of texts
 
 
@@ -158,20 +171,21 @@ class Aligner:
     def __init__(self, first: ByteTokens, second: PieceTokens):
         self.first, self.second = first, second
         self.size = max(first.size, second.size)
+        if self.size > 1 << SECOND_BITS:
+            raise ValueError("vocabularies of more than a million tokens are not supported")
+        first.encoder.units.limit = second.encoder.units.limit = _KEPT_UNITS
         self.numbers = sentence_pieces.NumberTexts(self.size, ",|;")
 
     def __call__(self, texts: pa.Array) -> dict[str, pa.Array]:
         texts = pc.fill_null(texts, "")
         a, n_a, b, n_b, length_a, length_b = self._encoded(texts)
         end_a, end_b = _ends(length_a, n_a), _ends(length_b, n_b)
-        view_a = memoryview(np.ascontiguousarray(end_a, dtype=np.int64)).cast("B")
-        view_b = memoryview(np.ascontiguousarray(end_b, dtype=np.int64)).cast("B")
+        end_a, end_b = end_a.tolist(), end_b.tolist()
         found, n_runs = [], np.zeros(len(texts), np.int64)
         at = bt = 0
-        view_a, view_b = view_a.cast("q"), view_b.cast("q")
         for row, (n, m) in enumerate(zip(n_a.tolist(), n_b.tolist())):
             if n:
-                part = runs(view_a[at : at + n], view_b[bt : bt + m])
+                part = runs(end_a[at : at + n], end_b[bt : bt + m])
                 n_runs[row] = len(part)
                 found += part
             at, bt = at + n, bt + m
@@ -255,13 +269,19 @@ class Aligner:
             pairs.append((ids_a[:, None] << SECOND_BITS | ids_b).ravel())
             times.append((k_a[:, None] * k_b).ravel())
             rows.append(np.full(len(pairs[-1]), group_row[g]))
-        row, pair, times = map(np.concatenate, (rows, pairs, times))
-        order = np.lexsort((pair, row))
-        row, pair, times = row[order], pair[order], times[order]
-        begins = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(pair, prepend=-1))
-        if not len(begins):
-            return row, pair, times
-        return row[begins], pair[begins], np.add.reduceat(times, begins)
+        row, pair = map(np.concatenate, (rows, pairs))
+        key = row << 2 * SECOND_BITS | pair
+        if len(times) == 1:  # a link each: equal keys are counted
+            key.sort()
+            begins = np.flatnonzero(np.diff(key, prepend=-1))
+            times = np.diff(begins, append=len(key))
+        else:
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            begins = np.flatnonzero(np.diff(key, prepend=-1))
+            times = np.add.reduceat(np.concatenate(times)[order], begins)
+        key = key[begins]
+        return key >> 2 * SECOND_BITS, key & ((1 << 2 * SECOND_BITS) - 1), times
 
 
 def _flat(texts: pa.Array) -> np.ndarray:
@@ -296,7 +316,7 @@ def align(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, at = None, TaskContext.get().partitionId() << 40
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", _CHUNK_BYTES):
             if aligner is None:
                 ranks, *pieces = shared.value
                 aligner = Aligner(ByteTokens(ranks, pattern), PieceTokens(*pieces))
