@@ -248,15 +248,14 @@ class Encoder:
         for end, symbol in self.reversed.iter(text[::-1]):
             if longest[~end] == other:
                 longest[~end] = symbol
-        failed = bytearray(n // 8 + 1)
+        failed, any_failed = bytearray(n // 8 + 1), False
         length, shorter, compatible = merges.length, merges.shorter, merges.compatible
         out: list[int] = []
-        at, symbol = 0, longest[0] if n else -1
+        at, last, symbol = 0, -1, longest[0] if n else -1
         while at < n:
-            last = out[-1] if out else -1
             while symbol >= 0:
                 end = at + length[symbol]
-                if not failed[end >> 3] >> (end & 7) & 1:
+                if not any_failed or not failed[end >> 3] >> (end & 7) & 1:
                     if last < 0:
                         break
                     pair = last * size + symbol
@@ -268,13 +267,16 @@ class Encoder:
                 symbol = shorter[symbol]
             if symbol >= 0:
                 out.append(symbol)
-                at = end
-                symbol = longest[at] if at < n else -1
+                at, last = end, symbol
+                if at < n:
+                    symbol = longest[at]
             else:
                 # nothing can follow here: take the last piece back and try a shorter one
                 failed[at >> 3] |= 1 << (at & 7)
+                any_failed = True
                 symbol = out.pop()
                 at -= length[symbol]
+                last = out[-1] if out else -1
         if len(known) > 1 << 20:
             known.clear()
         return out

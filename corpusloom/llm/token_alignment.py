@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from corpusloom.llm import bpe, sentence_pieces
+from corpusloom.llm import sentence_pieces
 from corpusloom.llm.arrow import chunks, ragged, sums_by_run
 from corpusloom.sources.shared import materialise
 
@@ -43,8 +44,8 @@ SECOND_BITS = 20
 # Text handled at once: a text has many more numbers here (tokens, ends, links) than where it is
 # only encoded.
 _CHUNK_BYTES = 1 << 20
-# Units kept by each tokenizer (their parts are kept as well, so a unit is soon put together anew).
-_KEPT_UNITS = 150_000
+# Units kept (their words are kept as well, so a unit is soon put together anew).
+_KEPT_UNITS = 300_000
 
 ALIGNED = (
     "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, "
@@ -74,31 +75,58 @@ def byte_ranks(spec: str) -> dict[bytes, int]:
 
 
 class ByteTokens:
-    """The first tokenizer: byte-level merges on a space and the text."""
+    """The first tokenizer: the tiktoken library's byte-level merges on a space and the text."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.encoder = bpe.Encoder(ranks, pattern)
+        import tiktoken
+
+        self.encoding = tiktoken.Encoding(
+            "alignment", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
+        )
         self.size = max(ranks.values()) + 1
+        tokens = [b""] * self.size
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.lengths = np.fromiter(map(len, tokens), np.int64, self.size)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, ids per text, bytes, bytes per id)."""
-        ids, counts = self.encoder.encode(pc.binary_join_element_wise(" ", texts, ""))
-        ids = ids.astype(np.int64)
-        lengths = self.encoder.token_lengths[ids]
-        starts = self.encoder.token_starts[ids]
-        return ids, counts, self.encoder.token_bytes[ragged(starts, lengths)], lengths
+        found = [self.encoding.encode_ordinary(f" {text}") for text in texts.to_pylist()]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))
+        lengths = self.lengths[ids]
+        return ids, counts, self.bytes[ragged(self.starts[ids], lengths)], lengths
+
+
+class PieceTokens(sentence_pieces.Encoder):
+    """The second tokenizer: pieces of the text, before which the model sets a space.
 
+    Words that begin with a space are what the sentencepiece library takes as whole texts, so it
+    encodes those that are new; words without one are left to the encoder of this package.
+    """
 
-class PieceTokens:
-    """The second tokenizer: pieces of the text, before which the model sets a space."""
+    def __init__(self, data: bytes, model: sentence_pieces.Model, merges: sentence_pieces.Merges):
+        import sentencepiece
 
-    def __init__(self, model, merges):
-        self.encoder = sentence_pieces.Encoder(model, merges)
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
+        super().__init__(model, merges)
         self.size = len(model.pieces)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        ids, counts = self.encoder.encode(texts)
-        return ids.astype(np.int64), counts, *self.encoder.spelling(ids)
+    def _encode_words(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        mark = sentence_pieces.SPACE
+        plain = [i for i, unit in enumerate(units) if unit.rfind(mark) == 0 and len(unit) > 1]
+        coded = self.library.encode([units[i][1:] for i in plain], num_threads=1)
+        by_place = dict(zip(plain, coded))
+        found = [by_place[i] if i in by_place else self._ids(u) for i, u in enumerate(units)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
+    def encode_bytes(self, texts: pa.Array):
+        """(ids, ids per text, bytes, bytes per id)."""
+        ids, counts = self.encode(texts)
+        return ids.astype(np.int64), counts, *self.spelling(ids)
 
 
 # one text
@@ -173,7 +201,7 @@ class Aligner:
         self.size = max(first.size, second.size)
         if self.size > 1 << SECOND_BITS:
             raise ValueError("vocabularies of more than a million tokens are not supported")
-        first.encoder.units.limit = second.encoder.units.limit = _KEPT_UNITS
+        second.units.limit = _KEPT_UNITS
         self.numbers = sentence_pieces.NumberTexts(self.size, ",|;")
 
     def __call__(self, texts: pa.Array) -> dict[str, pa.Array]:
@@ -189,12 +217,13 @@ class Aligner:
                 n_runs[row] = len(part)
                 found += part
             at, bt = at + n, bt + m
-        return self._linked(a, n_a, b, n_b, np.array(found, np.int64).reshape(-1, 3), n_runs)
+        found = np.fromiter(chain.from_iterable(found), np.int64, 3 * len(found)).reshape(-1, 3)
+        return self._linked(a, n_a, b, n_b, found, n_runs)
 
     def _encoded(self, texts: pa.Array):
         """Ids and lengths of both, without the texts that are not spelt exactly by both."""
         a, n_a, bytes_a, length_a = self.first.encode(texts)
-        b, n_b, bytes_b, length_b = self.second.encode(texts)
+        b, n_b, bytes_b, length_b = self.second.encode_bytes(texts)
         size_a, size_b = sums_by_run(length_a, n_a), sums_by_run(length_b, n_b)
         want = pc.binary_join_element_wise(" ", texts, "")
         size = np.asarray(pc.binary_length(want), dtype=np.int64)
@@ -311,7 +340,7 @@ def align(
     """
     model = sentence_pieces.read_model(piece_model)
     shared = docs.sparkSession.sparkContext.broadcast(
-        (byte_ranks(byte_spec), model, sentence_pieces.Merges(model))
+        (byte_ranks(byte_spec), piece_model, model, sentence_pieces.Merges(model))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
