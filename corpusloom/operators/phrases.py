@@ -1,102 +1,207 @@
-"""Command phrases inside transcripts, and the report on a matching run."""
+"""Command phrases inside transcripts, and the report on a matching run.
 
-from __future__ import annotations
+A phrase occurs in a transcript if its letters do, so its first word may be the end of a heard word
+and its last word the beginning of one; a phrase of one word may lie inside a word. Phrases are
+therefore looked up in the vocabulary of the transcripts first, which is short beside them:
+``word_matches`` joins the outer words of phrases to the vocabulary. A phrase of one word is decided
+by that. Any other phrase is anchored at its rarest word, only transcripts with an anchor's word meet
+the phrase, and the row of the transcript tells whether the whole phrase is in it. Commands stay a
+table throughout.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.text import normalise_phrase
+from corpusloom.operators.skew import BROADCAST_ROWS, lookup_join
+from corpusloom.sources.shared import materialise
 
-# Characters of phrases in one search automaton; longer lists are searched block by block.
-BLOCK_CHARS = 8_000_000
+# Letters by which the outer words of phrases meet the vocabulary: at the end or the beginning of a
+# word, and anywhere in it.
+EDGE_LETTERS = 6
+INNER_LETTERS = 4
 
+INSIDE, AT_END, AT_START, WHOLE = "inside", "at end", "at start", "whole"
 
-def _prepared(commands: DataFrame) -> DataFrame:
+
+def _prepared(commands: DataFrame, by_language: bool) -> DataFrame:
     """Active commands with normalised phrases; of equal phrases the first in list order."""
+    language = F.col("language") if by_language else F.lit("")
     return (
         commands.filter("is_active")
-        .withColumn("phrase", normalise_phrase(F.col("phrase")))
-        .groupBy("language", "phrase")
-        .agg(F.min(F.struct("command_order", "action")).alias("c"))
-        .select("language", "phrase", "c.command_order", "c.action")
+        .select(language.alias("key"), normalise_phrase(F.col("phrase")).alias("phrase"),
+                "command_order", "action")
+        .filter("phrase is not null")
+        .groupBy("key", "phrase")
+        .agg(F.min(F.struct("command_order", "action")).alias("command"))
+    )
+
+
+def _grams(word: Column, letters: int) -> Column:
+    """Distinct stretches of 1 to ``letters`` letters of a word, each read off by a look ahead."""
+    sizes = range(1, letters + 1)
+    found = (F.regexp_extract_all(word, F.lit(f"(?=(.{{{n}}}))"), F.lit(1)) for n in sizes)
+    return F.array_distinct(F.concat(*found))
+
+
+def _ends(word: Column, side: str) -> Column:
+    """The first or last 1 to ``EDGE_LETTERS`` letters of a word."""
+    take = F.left if side == AT_START else F.right
+    sizes = F.sequence(F.lit(1), F.least(F.length(word), F.lit(EDGE_LETTERS)))
+    return F.transform(sizes, lambda n: take(word, n))
+
+
+def word_matches(
+    vocabulary: DataFrame, needles: DataFrame, rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """``(side, needle, word, df)``: the words that have a needle inside, at their end or start.
+
+    ``vocabulary`` has ``word`` and ``df``, ``needles`` distinct ``(side, needle)``. Both meet by a
+    few letters, and whole needles are compared in the row. A frequent stretch of letters is spread.
+    """
+    word, needle = F.col("word"), F.col("needle")
+    keyed = vocabulary.select(
+        "word",
+        "df",
+        F.explode(
+            F.map_from_arrays(
+                F.array(F.lit(INSIDE), F.lit(AT_END), F.lit(AT_START)),
+                F.array(_grams(word, INNER_LETTERS), _ends(word, AT_END), _ends(word, AT_START)),
+            )
+        ).alias("side", "letters"),
+    ).select("word", "df", "side", F.explode("letters").alias("letters"))
+    asked = needles.select(
+        "side",
+        "needle",
+        F.when(F.col("side") == INSIDE, F.left(needle, F.lit(INNER_LETTERS)))
+        .when(F.col("side") == AT_END, F.right(needle, F.lit(EDGE_LETTERS)))
+        .otherwise(F.left(needle, F.lit(EDGE_LETTERS)))
+        .alias("letters"),
+    )
+    met = lookup_join(keyed, asked, ["side", "letters"], ["word"], "inner", rows)
+    fitting = (
+        F.when(F.col("side") == INSIDE, F.contains(word, needle))
+        .when(F.col("side") == AT_END, F.endswith(word, needle))
+        .otherwise(F.startswith(word, needle))
     )
+    return met.filter(fitting).select("side", "needle", "word", "df")
+
+
+def _anchors(phrases: DataFrame, vocabulary: DataFrame, matches: DataFrame) -> DataFrame:
+    """``(phrase, word)``: the heard words at which phrases of several words are looked for.
+
+    Every word of a phrase is a possible anchor: an inner one is a heard word, an outer one stands
+    for all heard words that end or begin with it. The one heard in the fewest transcripts is taken;
+    a phrase with a word that is never heard drops out.
+    """
+    size = F.size("words")
+    options = phrases.select(
+        "phrase",
+        F.explode(
+            F.transform(
+                "words",
+                lambda w, i: F.struct(
+                    F.when(i == 0, AT_END).when(i == size - 1, AT_START).otherwise(WHOLE).alias("side"),
+                    w.alias("needle"),
+                ),
+            )
+        ).alias("o"),
+    ).select("phrase", "o.*")
+    whole = options.filter(F.col("side") == WHOLE).select("side", "needle").distinct()
+    heard = whole.join(vocabulary.withColumnRenamed("word", "needle"), "needle").select(
+        "side", "needle", F.col("needle").alias("word"), "df"
+    )
+    places = matches.filter(F.col("side") != INSIDE).unionByName(heard)
+    totals = places.groupBy("side", "needle").agg(F.sum("df").alias("total"))
+    rated = options.join(totals, ["side", "needle"], "left")
+    best = (
+        rated.groupBy("phrase")
+        .agg(
+            F.min(F.struct(F.coalesce("total", F.lit(0)).alias("total"), "side", "needle")).alias("o")
+        )
+        .filter("o.total > 0")
+        .select("phrase", "o.side", "o.needle")
+    )
+    return best.join(places, ["side", "needle"]).select("phrase", "word")
 
 
 def match_commands(
     transcripts: DataFrame,
     commands: DataFrame,
     by_language: bool = False,
-    block_chars: int = BLOCK_CHARS,
+    rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``(id, command_order, action)``: the first command whose phrase the transcript contains.
 
     Transcripts without a match, and blank ones, keep their row with nulls. Compares normalised
-    texts. Phrases of any length and number are found by reading a transcript once per block of
-    phrases, without a shuffle; a block, the one thing broadcast, has about ``block_chars``
-    characters (or one longer phrase).
+    texts; phrases may have any length and number. By language, a transcript or command without a
+    language matches nothing. An empty phrase is part of every transcript that is not blank.
+    Lookups of at most ``rows`` rows are broadcast, longer ones shuffle with hot words spread.
     """
-    ready = _prepared(commands)
-    spark = transcripts.sparkSession
-    total = ready.agg(F.sum(F.length("phrase") + 1)).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
-    language = F.col("language") if by_language else F.lit(None).cast("string")
-    out = transcripts.select(
-        "id",
-        language.alias("language"),
-        normalise_phrase(F.col("text")).alias("heard"),
-        F.lit(None).cast("bigint").alias("command_order"),
-        F.lit(None).cast("string").alias("action"),
+    key = F.col("language") if by_language else F.lit("")
+    heard = materialise(
+        transcripts.select(
+            F.monotonically_increasing_id().alias("row"),
+            "id",
+            key.alias("key"),
+            normalise_phrase(F.col("text")).alias("heard"),
+        ),
+        "heard",
+    )
+    ready = materialise(_prepared(commands, by_language), "commands")
+    said = heard.filter("heard <> ''")
+    words = said.select(
+        "row", "key", F.explode(F.array_distinct(F.split("heard", " "))).alias("word")
+    )
+    vocabulary = materialise(words.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "words")
+    phrases = (
+        ready.filter("phrase <> ''").select("phrase").distinct()
+        .select("phrase", F.split("phrase", " ").alias("words"))
+    )
+    first, last = F.element_at("words", 1), F.element_at("words", -1)
+    needles = F.when(
+        F.size("words") == 1,
+        F.array(F.struct(F.lit(INSIDE).alias("side"), first.alias("needle"))),
+    ).otherwise(
+        F.array(
+            F.struct(F.lit(AT_END).alias("side"), first.alias("needle")),
+            F.struct(F.lit(AT_START).alias("side"), last.alias("needle")),
+        )
+    )
+    asked = phrases.select(F.inline(needles)).distinct()
+    matches = materialise(word_matches(vocabulary, asked, rows), "word-matches")
+
+    # phrases of one word: the first command of each heard word
+    single = (
+        matches.filter(F.col("side") == INSIDE)
+        .join(ready.withColumnRenamed("phrase", "needle"), "needle")
+        .groupBy("word", "key")
+        .agg(F.min("command").alias("command"))
+    )
+    # others: transcripts with an anchor's word, and the whole phrase
+    longer = phrases.filter(F.size("words") > 1)
+    anchors = _anchors(longer, vocabulary, matches)
+    met = lookup_join(words, materialise(anchors, "anchors"), ["word"], ["row"], "inner", rows)
+    wanted = met.select("row", "key", "phrase").distinct()
+    asked_for = lookup_join(wanted, ready, ["key", "phrase"], ["row"], "inner", rows).select(
+        F.col("row").alias("in_row"), "phrase", "command"
+    )
+    whole = said.join(
+        asked_for, (F.col("row") == F.col("in_row")) & F.contains("heard", F.col("phrase"))
+    )
+    everywhere = ready.filter("phrase = ''").select("key", "command")
+    found = (
+        lookup_join(words, materialise(single, "single"), ["word", "key"], ["row"], "inner", rows)
+        .select("row", "command")
+        .unionByName(whole.select("row", "command"))
+        .unionByName(
+            lookup_join(said.select("row", "key"), everywhere, ["key"], ["row"], "inner", rows)
+            .select("row", "command")
+        )
     )
-    block = F.pmod(F.xxhash64("phrase"), F.lit(blocks))
-    for number in range(blocks):
-        rows = ready.filter(block == number).collect()
-        found: dict[str, dict] = {}
-        for r in rows:
-            key = r["language"] if by_language else None
-            best = found.setdefault(r["phrase"], {}).get(key)
-            if best is None or r["command_order"] < best[0]:
-                found[r["phrase"]][key] = (r["command_order"], r["action"])
-        shared = spark.sparkContext.broadcast(found)
-        out = out.mapInArrow(_search(shared), out.schema)
-    return out.select("id", "command_order", "action")
-
-
-def _search(shared):
-    """A pass over transcripts that keeps the first command so far or puts an earlier one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        phrases = shared.value
-        automaton = ahocorasick.Automaton()
-        for phrase, by_key in phrases.items():
-            if phrase:
-                automaton.add_word(phrase, by_key)
-        everywhere = phrases.get("")  # an empty phrase is part of every transcript
-        automaton.make_automaton()
-        for batch in batches:
-            orders, actions = [], []
-            columns = (batch.column(c).to_pylist() for c in ("language", "heard", "command_order", "action"))
-            for language, heard, order, action in zip(*columns):
-                best = None if order is None else (order, action)
-                if heard:
-                    hits = (v for _, v in automaton.iter(heard)) if len(automaton) else ()
-                    for by_key in (everywhere, *hits) if everywhere else hits:
-                        candidate = by_key.get(language)
-                        if candidate and (best is None or candidate[0] < best[0]):
-                            best = candidate
-                order, action = best or (None, None)
-                orders.append(order)
-                actions.append(action)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("language"), batch.column("heard"),
-                 pa.array(orders, pa.int64()), pa.array(actions, pa.string())],
-                names=["id", "language", "heard", "command_order", "action"],
-            )
-
-    return run
+    best = found.groupBy("row").agg(F.min("command").alias("command"))
+    return heard.join(best, "row", "left").select("id", "command.*")
 
 
 def medians(df: DataFrame, group: list[str], value: str, width: float) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import tokens as tok, weighting as wt
+from corpusloom.operators.index import StoredIndex, indexes
 from corpusloom.plans import lexicon, sql
 from corpusloom.plans.catalog import query, r6
 from corpusloom.plans.text_queries import lemmas_of
@@ -16,16 +17,28 @@ def postings_of(docs):
     return wt.term_frequencies(tok.words_only(docs, "doc_id"))
 
 
-def stored_postings(spark, sf):
-    """Postings written once, and the number of documents."""
-    postings = materialise(postings_of(read_texts(spark, sf, "documents")), "postings")
-    return postings, wt.row_count(read_table(spark, sf, "documents"))
+def _index(spark, sf, kind, terms_of):
+    """The session's index of the documents by one kind of terms."""
+
+    def build():
+        terms = terms_of(read_texts(spark, sf, "documents"))
+        return StoredIndex.build(terms, read_table(spark, sf, "documents"))
+
+    return indexes.get(spark, kind, f"{sf}/documents.parquet", build)
+
+
+def word_index(spark, sf):
+    return _index(spark, sf, "words", lambda docs: tok.words_only(docs, "doc_id"))
+
 
+def lemma_index(spark, sf):
+    return _index(spark, sf, "lemmas", lambda docs: lemmas_of(spark, docs))
 
-def build_index(terms, total):
-    """Postings and non-zero normalised weights, both stored."""
-    postings = materialise(wt.term_frequencies(terms), "postings")
-    return postings, materialise(wt.tfidf_vectors(postings, total), "weights")
+
+def stored_postings(spark, sf):
+    """Postings, written once, and the number of documents."""
+    index = word_index(spark, sf)
+    return index.postings, index.total
 
 
 @query("term_frequencies", sql.with_(sql.TOKENS, sql.TF) + "SELECT * FROM tf")
@@ -124,13 +137,11 @@ LEMMA_INDEX = (
 )
 def tfidf_index(spark, sf):
     """The whole index job on lemmas, stored, read back and summed up per term."""
-    docs = read_texts(spark, sf, "documents")
-    total = wt.row_count(read_table(spark, sf, "documents"))
-    postings, weights = build_index(lemmas_of(spark, docs), total)
-    by_term = postings.groupBy("term").agg(
+    index = lemma_index(spark, sf)
+    by_term = index.postings.groupBy("term").agg(
         F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("occurrences")
     )
-    mass = weights.groupBy("term").agg(r6(F.sum("weight"), "weight"))
+    mass = index.weights.groupBy("term").agg(r6(F.sum("weight"), "weight"))
     return by_term.join(mass, "term")
 
 
@@ -141,14 +152,12 @@ def tfidf_index(spark, sf):
     (SELECT count(*) FROM tf) AS postings, (SELECT count(*) FROM weights) AS weights""",
 )
 def index_summary(spark, sf):
-    docs = read_texts(spark, sf, "documents")
-    total = wt.row_count(read_table(spark, sf, "documents"))
-    postings, weights = build_index(lemmas_of(spark, docs), total)
+    index = lemma_index(spark, sf)
     return spark.range(1).select(
-        total.alias("documents"),
-        wt.row_count(wt.document_frequencies(postings)).alias("terms"),
-        wt.row_count(postings).alias("postings"),
-        wt.row_count(weights).alias("weights"),
+        index.total.cast("long").alias("documents"),
+        wt.row_count(index.terms).alias("terms"),
+        wt.row_count(index.postings).alias("postings"),
+        wt.row_count(index.weights).alias("weights"),
     )
 
 
