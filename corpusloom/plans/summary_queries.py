@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import summarize as sm, tokens as tok, weighting as wt
+from corpusloom.operators.runs import RunLedger, run_method
 from corpusloom.plans import lexicon, sql
 from corpusloom.plans.catalog import query, r6
 from corpusloom.plans.search_queries import CENTROID_SQL, chunk_vectors, label_centroids
@@ -284,3 +285,32 @@ def summarize_corpus(spark, sf):
         for m in ("algorithmic", "textrank")
     ]
     return _run_summary(runs[0].unionByName(runs[1]))
+
+
+@query(
+    "summary_runs",
+    sql.with_(*SPANS_SQL, *TERMS_SQL, *ALG_SQL, *SELECT_SQL, *SUMMARY_SQL)
+    + """SELECT 2::BIGINT AS run_id, 'algorithmic' AS method, count(*) AS documents,
+    0::BIGINT AS failures, round(avg(length(summary)::DOUBLE / length(text)), 6)
+    AS mean_compression, round(avg(len(sentence_indices)), 6) AS mean_selected
+    FROM summ JOIN documents USING (doc_id)""",
+)
+def summary_runs(spark, sf):
+    """The corpus summarised twice: the newest completed run of the method, with its means."""
+    ledger = RunLedger(spark)
+    docs = read_table(spark, sf, "documents").select("doc_id")
+    whole = corpus_summaries(spark, sf, "algorithmic").select(
+        "doc_id", "summary", "sentence_indices", "compression"
+    )
+    for _ in range(2):
+        run_method(
+            ledger, None, "algorithmic", docs,
+            lambda part: whole.join(part, "doc_id", "left_semi"), whole.schema,
+        )
+    newest = ledger.newest_completed("method")
+    ids = [row["run_id"] for row in newest.select("run_id").collect()]
+    means = ledger.results(ids, whole.schema).groupBy("run_id").agg(
+        r6(F.avg("compression"), "mean_compression"),
+        r6(F.avg(F.size("sentence_indices")), "mean_selected"),
+    )
+    return newest.select("run_id", "method", "documents", "failures").join(means, "run_id")

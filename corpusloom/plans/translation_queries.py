@@ -14,6 +14,7 @@ from corpusloom.operators import (
     weighting as wt,
 )
 from corpusloom.plans import annotate as an, sql
+from corpusloom.operators.runs import RunLedger, run_method
 from corpusloom.plans.catalog import query, r6
 from corpusloom.sources import lexicons
 from corpusloom.sources.shared import materialise, scratch_path
@@ -442,6 +443,41 @@ def corpus_translation(spark, sf):
     )
 
 
+@query(
+    "translation_runs",
+    sql.with_(*TRANSFER_SQL, *DIRECT_SQL)
+    + """SELECT 2::BIGINT AS run_id, 'direct' AS method, 'completed' AS status,
+    count(*) AS documents, 0::BIGINT AS failures, sum(word_count)::BIGINT AS words,
+    sum(length(translated_text))::BIGINT AS chars FROM direct
+    UNION ALL SELECT 3, 'transfer', 'completed', count(*), 0, sum(word_count)::BIGINT,
+    sum(length(t.translated_text))::BIGINT FROM transfer t JOIN direct d USING (doc_id)""",
+)
+def translation_runs(spark, sf):
+    """Direct translation run twice and transfer once: what the newest completed runs stored."""
+    t = Translation(spark, sf)
+    columns = ["doc_id", "translated_text", "word_count"]
+    docs = scan_documents(read_table(spark, sf, "documents"), language="en").select("doc_id")
+    transferred = tf.transfer_translate(t.tokens, t.lookup, *t.lexicons(), translated=t.stored)
+    methods = {"direct": tr.direct_translate(t.stored), "transfer": transferred}
+    ledger = RunLedger(spark)
+    for method in ("direct", "direct", "transfer"):
+        whole = methods[method].select(columns)
+        run_method(
+            ledger, None, method, docs,
+            lambda part, whole=whole: whole.join(part, "doc_id", "left_semi"), whole.schema,
+        )
+    newest = ledger.newest_completed("method").select(
+        "run_id", "method", "status", "documents", "failures"
+    )
+    ids = [row["run_id"] for row in newest.collect()]
+    stored = ledger.results(ids, methods["direct"].select(columns).schema)
+    sums = stored.groupBy("run_id").agg(
+        F.sum("word_count").alias("words"),
+        F.sum(F.length("translated_text")).cast("long").alias("chars"),
+    )
+    return newest.join(sums, "run_id")
+
+
 @query(
     "read_dictionary_tsv",
     """SELECT p_name AS source_lemma, p_brand AS pos, p_type AS target_text
