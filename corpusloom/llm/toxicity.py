@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.llm.arrow import chunks, ragged
+from corpusloom.sources.shared import materialise
 
 BUCKETS = 1 << 22
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -191,17 +192,23 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Trains voters, label model and classifier on the bounded sample."""
-    rows = training_sample(docs, labels).collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["features"]))
-    if not rows:
+    """Trains voters, label model and classifier on the bounded sample.
+
+    The sample's features stay with the executors: they count them by label, and the driver gets the
+    chosen features and, per text, one bit for each of these.
+    """
+    sample = materialise(training_sample(docs, labels), "toxicity-sample")
+    texts = {row["toxic"]: row["count"] for row in sample.groupBy("toxic").count().collect()}
+    if not texts:
         return _hand_written_only()
-    gold = np.array([r["toxic"] for r in rows])
-    features = [np.frombuffer(r["features"], np.int32) for r in rows]
-    patterns = np.stack([np.frombuffer(r["patterns"], np.uint8) for r in rows]).astype(bool)
-    chosen = _associated(features, gold)
-    matrix = _incidence(features, chosen)
-    names, votes = _votes(features, patterns, matrix)
+    chosen = _associated(sample, texts.get(0, 0), texts.get(1, 0))
+    rows = sorted(_marked(sample, chosen).collect())
+    gold = np.array([toxic for _, toxic, _, _ in rows])
+    packed = np.stack([np.frombuffer(bits, np.uint8) for _, _, bits, _ in rows])
+    matrix = np.unpackbits(packed, axis=1, count=len(chosen)).astype(np.float32)
+    patterns = np.stack([np.frombuffer(votes, np.uint8) for *_, votes in rows]).astype(bool)
+    del rows, packed
+    names, votes = _votes(chosen, patterns, matrix)
     posterior, accuracies, correlations = label_model(votes, gold)
     names_of = {(names[i], names[j]): c for (i, j), c in correlations.items()}
     listed = np.where(np.isin(chosen, list(_LISTED.values())), LISTED_WEIGHT, 0.0)
@@ -209,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     kept = {int(f): float(w) for f, w in zip(chosen, weights) if abs(w) > 1e-4}
     return Model(
         kept,
-        _word_features_of(kept, features),
+        _word_features_of(kept, sample),
         intercept,
         dict(zip(names, accuracies.tolist())),
         names_of,
@@ -221,57 +228,96 @@ def _hand_written_only() -> Model:
     return Model(weights, set(weights), -3.0)
 
 
-def _word_features_of(kept: dict[int, float], features: list[np.ndarray]) -> set[int]:
-    """Word features that stand behind the kept ones, at any level."""
-    seen = np.unique(np.concatenate(features)).astype(np.int64)
+def _word_features_of(kept: dict[int, float], sample: DataFrame) -> set[int]:
+    """Word features that stand behind the kept ones, at any level: at most one for each level."""
     wanted = np.array(sorted(kept), np.int64)
-    behind = np.zeros(len(seen), bool)
-    for level in LEVELS:
-        behind |= np.isin(at_level(seen, level), wanted)
-    return set(seen[behind].tolist())
 
+    def behind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = np.unique(np.concatenate(_features_of(batch))).astype(np.int64)
+            found = np.zeros(len(seen), bool)
+            for level in LEVELS:
+                found |= np.isin(at_level(seen, level), wanted)
+            yield pa.RecordBatch.from_arrays([pa.array(seen[found])], ["feature"])
+
+    rows = sample.select("features").mapInArrow(behind, "feature bigint").distinct().collect()
+    return {row["feature"] for row in rows}
 
-def _associated(features: list[np.ndarray], gold: np.ndarray) -> np.ndarray:
+
+def _features_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Distinct features of every text; never an empty list, so that they can be joined."""
+    rows = [np.frombuffer(row, np.int32) for row in batch.column("features").to_pylist()]
+    return [*rows, np.zeros(0, np.int32)]
+
+
+def _associated(sample: DataFrame, n_clean: int, n_toxic: int) -> np.ndarray:
     """Features that tell for label 1, best first by the lower end of their log odds, and the lists."""
-    size = BUCKETS
-    none = [np.zeros(0, np.int32)]
-    clean, toxic = (
-        np.bincount(
-            np.concatenate(none + [f for f, y in zip(features, gold) if y == label]), minlength=size
-        )
-        for label in (0, 1)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gold = np.asarray(batch.column("toxic"))
+            for label in (0, 1):
+                part = _features_of(batch.filter(pa.array(gold == label)))
+                feature, n = np.unique(np.concatenate(part), return_counts=True)
+                counts = [n, np.zeros(len(n), np.int64)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(feature), pa.array(counts[label]), pa.array(counts[1 - label])],
+                    ["feature", "clean", "toxic"],
+                )
+
+    counts = (
+        sample.select("toxic", "features")
+        .mapInArrow(tally, "feature int, clean bigint, toxic bigint")
+        .groupBy("feature")
+        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        .filter("clean + toxic >= 3")
+    )
+    a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    rest_a, rest_b = max(1, n_toxic) + 1 - a, max(1, n_clean) + 1 - b
+    odds = F.log(a / rest_a) - F.log(b / rest_b)
+    spread = F.sqrt(1 / a + 1 / rest_a + 1 / b + 1 / rest_b)
+    rows = (
+        counts.select("feature", (odds - 1.5 * spread).alias("firm"))
+        .filter("firm > 0")
+        .orderBy(F.desc("firm"), "feature")
+        .limit(MAX_FEATURES)
+        .collect()
     )
-    n1, n0 = max(1, int((gold == 1).sum())), max(1, int((gold == 0).sum()))
-    seen = np.flatnonzero(toxic + clean >= 3)
-    a, b = toxic[seen] + 0.5, clean[seen] + 0.5
-    odds = np.log(a / (n1 + 1 - a)) - np.log(b / (n0 + 1 - b))
-    spread = np.sqrt(1 / a + 1 / (n1 + 1 - a) + 1 / b + 1 / (n0 + 1 - b))
-    firm = odds - 1.5 * spread
-    best = seen[np.argsort(-firm, kind="stable")][: min(MAX_FEATURES, int((firm > 0).sum()))]
+    best = np.array([row["feature"] for row in rows], np.int64)
     return np.concatenate([best, np.setdiff1d(list(_LISTED.values()), best)])
 
 
-def _incidence(features: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
-    """Texts x chosen features, 0/1."""
+def _marked(sample: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """(doc_id, toxic, bits, patterns): one bit for each chosen feature that a text has."""
     order = np.argsort(chosen)
     ranked = chosen[order]
-    out = np.zeros((len(features), len(chosen)), np.float32)
-    if len(chosen):
-        for i, row in enumerate(features):
-            at = np.searchsorted(ranked, row)
-            at[at == len(ranked)] = 0
-            out[i, order[at[ranked[at] == row]]] = 1
-    return out
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = []
+            for row in _features_of(batch)[: batch.num_rows]:
+                has = np.zeros(len(chosen), np.uint8)
+                at = np.searchsorted(ranked, row)
+                at[at == len(ranked)] = 0
+                has[order[at[ranked[at] == row]]] = 1
+                bits.append(np.packbits(has).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("toxic"), pa.array(bits, pa.binary()),
+                 batch.column("patterns")],
+                ["doc_id", "toxic", "bits", "patterns"],
+            )
+
+    return sample.mapInArrow(mark, "doc_id bigint, toxic int, bits binary, patterns binary")
 
 
 def _votes(
-    features: list[np.ndarray], patterns: np.ndarray, matrix: np.ndarray
+    chosen: np.ndarray, patterns: np.ndarray, matrix: np.ndarray
 ) -> tuple[list[str], np.ndarray]:
     """Votes 1 (toxic), -1 (clean) or 0 (none) of every voter, texts x voters."""
     names, columns = [], []
     for name in LEXICONS:
-        listed = np.int32(_hash(f"list {name}"))
-        columns.append(np.array([(f == listed).any() for f in features]).astype(np.int8))
+        listed = chosen == _hash(f"list {name}")
+        columns.append((matrix[:, listed].sum(axis=1) > 0).astype(np.int8))
         names.append(name)
     for k, name in enumerate(("marks", "shouting", "address")):
         columns.append(patterns[:, k].astype(np.int8))
@@ -353,8 +399,9 @@ def train_linear(
     weight /= weight.sum()
     # texts without any feature are one row; the last column is the intercept
     some = matrix.any(axis=1)
-    rows = np.vstack([matrix[some], np.zeros((1, d), np.float32)])
-    rows = np.hstack([rows, np.ones((len(rows), 1), np.float32)])
+    rows = np.zeros((int(some.sum()) + 1, d + 1), np.float32)
+    rows[:-1, :-1] = matrix[some]
+    rows[:, -1] = 1
     rest = weight[~some].sum()
     mean = (weight[~some] @ target[~some]) / rest if rest else 0.5
     goal = np.append(target[some], mean)
@@ -372,7 +419,10 @@ def train_linear(
         p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
         slope = rows.T @ (share_of * (p - goal)) + penalty * (w - centre)
         curve = (share_of * p * (1 - p)).astype(np.float32)
-        hessian = (rows.T @ (rows * curve[:, None])).astype(float) + np.diag(penalty + 1e-9)
+        hessian = np.diag(penalty + 1e-9)
+        for at in range(0, len(rows), 1000):  # no second matrix of all texts
+            part = rows[at : at + 1000]
+            hessian += part.T @ (part * curve[at : at + 1000, None])
         move = np.linalg.solve(hessian, slope)
         scale = 1.0
         while (after := loss(w - scale * move)) > now and scale > 1e-4:
