@@ -11,6 +11,7 @@ columns of the input are not read.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -60,8 +61,9 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library, normalizers
 
         self.library = Library.from_str(spec)
-        self.library.encode_special_tokens = True
-        # for units that are in the normal form already
+        # texts that hold an added token's string are left to the library, which gives its id
+        self.added = [(t["content"], bool(t["normalized"])) for t in json.loads(spec)["added_tokens"]]
+        # for units that are in the normal form already, in which no added token is left
         self.normal = Library.from_str(spec)
         self.normal.encode_special_tokens = True
         self.normal.normalizer = normalizers.Sequence([])
@@ -91,7 +93,9 @@ class Tokenizer:
         self.units.trim()
         self.words.trim()
         texts = pc.fill_null(texts, "")
-        uncommon = np.asarray(pc.match_substring_regex(texts, _UNCOMMON))
+        uncommon = np.array(pc.match_substring_regex(texts, _UNCOMMON))
+        for content, normalised in self.added:
+            uncommon |= np.asarray(pc.match_substring(texts, content, ignore_case=normalised))
         plain = texts.filter(pa.array(~uncommon))
         units, index, sizes = distinct_units(pc.utf8_split_whitespace(pc.utf8_lower(plain)))
         ids, lengths = self.units.ids_of(self.units.codes_of(units)[index])

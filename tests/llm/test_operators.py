@@ -97,7 +97,6 @@ def test_token_files_match_the_library(spark, docs):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_str(spec())
-    library.encode_special_tokens = True
     got = token_files.encode_documents(docs, spec()).collect()
     want = []
     ordered = sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0))
@@ -110,6 +109,21 @@ def test_token_files_match_the_library(spark, docs):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_added_tokens_are_those_of_the_library():
+    """The strings of added tokens in a text get their ids, in any other case they do not."""
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_str(spec()), token_files.Tokenizer(spec())
+    rnd = random.Random(5)
+    parts = ["a", " <|endoftext|> ", "b<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", " word ", "é", "\n"]
+    texts = ["a <|endoftext|> b", "<|EndOfText|>", "<|endoftext", ""]
+    texts += ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 9))) for _ in range(500)]
+    ids, counts = own.encode(pa.array(texts))
+    ends = np.cumsum(counts)
+    for text, end, n in zip(texts, ends.tolist(), counts.tolist()):
+        assert ids[end - n : end].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files_roll_over(spark, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_BYTES", 20_000)
     monkeypatch.setattr(token_files, "GROUP_IDS", 4096)
@@ -289,6 +303,71 @@ def test_label_model_ranks_voters_and_finds_copies():
     assert ((posterior > 0.5) == truth).mean() > 0.93
 
 
+def test_linear_model_is_at_its_optimum():
+    """No direction from the weights lowers the penalised loss, written out here plainly."""
+    rng = np.random.default_rng(3)
+    matrix = (rng.random((300, 12)) < 0.2).astype(np.float32)
+    target = np.clip(0.1 + 0.7 * matrix[:, 0] + 0.1 * rng.random(300), 0, 1)
+    prior = np.zeros(12)
+    prior[1] = 2.0
+    weights, intercept = toxicity.train_linear(matrix, target, prior)
+    share = target.mean()
+    weight = target * 0.5 / share + (1 - target) * 0.5 / (1 - share)
+    weight /= weight.sum()
+
+    def loss(w, c):
+        total = 0.0
+        for row, goal, k in zip(matrix, target, weight):
+            z = float(row @ w) + c
+            total += k * (np.log1p(np.exp(z)) - goal * z)
+        drawn = np.where(prior != 0, 2e-2, 1e-3)
+        return total + float((drawn * (w - prior) ** 2).sum()) / 2 + 1e-6 * c * c / 2
+
+    best = loss(weights, intercept)
+    for k in range(13):
+        for step in (1e-2, -1e-2):
+            w, c = weights.copy(), intercept
+            if k < 12:
+                w[k] += step
+            else:
+                c += step
+            assert loss(w, c) > best - 1e-6
+
+
+def test_features_are_chosen_as_on_one_machine(spark):
+    """Counts by label, lower ends of log odds and their order against a plain loop."""
+    rows, labels = toxic_rows()
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    sample = toxicity.training_sample(docs, marks)
+    found = sample.collect()
+    n = [sum(r["toxic"] == label for r in found) for label in (0, 1)]
+    counts = {}
+    for r in found:
+        for f in np.frombuffer(r["features"], np.int32).tolist():
+            counts.setdefault(f, [0, 0])[r["toxic"]] += 1
+    firm = {}
+    for f, (clean, toxic) in counts.items():
+        if clean + toxic >= 3:
+            a, b = toxic + 0.5, clean + 0.5
+            c, d = n[1] + 1 - a, n[0] + 1 - b
+            value = np.log(a / c) - np.log(b / d) - 1.5 * np.sqrt(1 / a + 1 / c + 1 / b + 1 / d)
+            if value > 0:
+                firm[f] = value
+    want = sorted(firm, key=lambda f: (-firm[f], f))[: toxicity.MAX_FEATURES]
+    chosen = toxicity._associated(sample, *n)
+    assert set(want) <= set(chosen.tolist())
+    assert [round(firm[f], 9) for f in chosen[: len(want)].tolist()] == [
+        round(firm[f], 9) for f in want
+    ]
+    for r in toxicity._marked(sample, chosen).collect():
+        bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=len(chosen)).astype(bool)
+        own = next(x for x in found if x["doc_id"] == r["doc_id"])
+        assert set(chosen[bits].tolist()) == set(chosen.tolist()) & set(
+            np.frombuffer(own["features"], np.int32).tolist()
+        )
+
+
 def test_toxicity_edge_cases(spark, docs, nothing):
     marks = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     got = toxicity.fit_and_score(docs, marks).collect()
