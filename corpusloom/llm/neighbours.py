@@ -110,7 +110,21 @@ def fit(sample: np.ndarray, blocks: int) -> Index:
     return index
 
 
+# How far a cosine from a product of matrices may be from the one of its pair.
+_ROUNDING = 1e-11
+
+
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two, so that squares neither vanish nor grow beyond all bounds.
+
+    Only exponents change, so cosines of ordinary vectors stay the same to the last bit.
+    """
+    largest = np.abs(vectors).max(axis=1, keepdims=True, initial=0)
+    return np.ldexp(vectors, -np.frexp(largest)[1])
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = _scaled(vectors)
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
@@ -258,6 +272,7 @@ def _compare(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Recor
                 place, held_ids, held, matrix = places[low], [], [], None
             part = batch.slice(low, high - low)
             rows = np.frombuffer(b"".join(part.column("data").to_pylist())).reshape(high - low, -1)
+            rows = _scaled(rows)
             if roles[low] == 0:
                 held.append(rows)
                 held_ids.append(np.asarray(part.column("id")))
@@ -277,11 +292,12 @@ def _best(queries, query_ids, matrix, ids, norms, limit) -> pa.RecordBatch:
     for at in range(0, len(queries), 256):
         part = queries[at : at + 256]
         rough = (part @ matrix.T) / norms
-        # a few more than needed, then scored pair by pair, so that no block size shows
-        take = min(limit + 4, len(ids))
-        near = np.argpartition(-rough, take - 1, axis=1)[:, :take]
+        # all that the rounding of the products leaves open, ties among them, are scored pair by
+        # pair, so that no block size shows
+        take = min(limit, len(ids))
+        least = -np.partition(-rough, take - 1, axis=1)[:, take - 1]
         for i in range(len(part)):
-            rows = near[i]
+            rows = np.flatnonzero(rough[i] >= least[i] - _ROUNDING * lengths[at + i])
             score = (matrix[rows] * part[i]).sum(axis=1) / (norms[rows] * lengths[at + i])
             order = np.lexsort((ids[rows], -score))[:limit]
             out[0].append(np.full(len(order), query_ids[at + i]))

@@ -468,6 +468,30 @@ def test_hilbert_neighbours_touch():
     assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
 
 
+def test_neighbours_with_many_ties(spark):
+    """Vectors that are multiples of one another tie; smaller ids come first."""
+    base = [[1.0, 2.0, 0.5, 1.0], [0.5, 1.0, 4.0, 2.0]]
+    rows = [(i, [x * 2.0 ** (i % 37 - 18) for x in base[i // 60]]) for i in range(120)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(frame).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(v for _, v, _ in got[0]) == [1, 2, 3, 4, 5]
+    assert [v for _, v, _ in sorted(got[50])] == [0, 1, 2, 3, 4]
+    assert [v for _, v, _ in sorted(got[100])] == [60, 61, 62, 63, 64]
+    assert all(abs(s - 1) < 1e-12 for hits in got.values() for *_, s in hits)
+
+
+def test_neighbours_of_extreme_values(spark):
+    values = [1e200, 1e-200, 1e300, 5e-324, 1.0, 3e-310]
+    rows = [(i, [v, v if i % 2 else 0.0]) for i, v in enumerate(values)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: r["score"] for r in neighbours.nearest(frame).collect()}
+    assert set(got) == {1, 2, 3, 4, 5}
+    assert got[2] == got[4] == 1.0
+    assert all(abs(got[i] - 0.5**0.5) < 1e-15 for i in (1, 3, 5))
+
+
 # shingle join
 
 
