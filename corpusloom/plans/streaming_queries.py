@@ -31,6 +31,32 @@ def stream_transcripts(spark, sf):
     return jobs.run_to_table(states, "transcripts").drop("heard")
 
 
+@query(
+    "stream_full_texts",
+    sql.with_(*_TEXT_SQL)
+    + """SELECT conv_id, coalesce(string_agg(CASE WHEN chunk <> '' THEN chunk END, ' '
+        ORDER BY turn), '') AS full_text, length(coalesce(string_agg(CASE WHEN chunk <> ''
+        THEN chunk END, ' ' ORDER BY turn), ''))::BIGINT AS total_chars
+    FROM chunks GROUP BY conv_id""",
+)
+def stream_full_texts(spark, sf):
+    """What every session has said when the stream ends."""
+    states = transcripts.transcript_states(stream_table(spark, sf, "conversations"))
+    return transcripts.full_texts(jobs.run_to_table(states, "transcripts"))
+
+
+@query(
+    "stream_texts_so_far",
+    sql.with_(*_TEXT_SQL)
+    + "SELECT conv_id, turn, coalesce(full_text, '') AS full_text FROM so_far WHERE turn % 2 = 0",
+)
+def stream_texts_so_far(spark, sf):
+    """The text so far at every second turn of the sessions."""
+    states = transcripts.transcript_states(stream_table(spark, sf, "conversations"))
+    stored = jobs.run_to_table(states, "transcripts")
+    return transcripts.texts_so_far(stored, stored.filter("turn % 2 = 0"))
+
+
 @query(
     "stream_final_match",
     sql.with_(*COMMAND_SQL)

@@ -12,6 +12,8 @@ from corpusloom.functions.text import normalise_phrase, squeeze
 
 # Fixed value: characters of context kept.
 TAIL_CHARS = 200
+# Characters of a session that one task joins.
+BLOCK_CHARS = 1 << 20
 
 _OUT = (
     "conv_id bigint, turn bigint, chunk string, chars_before bigint, total_chars bigint, "
@@ -77,6 +79,47 @@ def transcript_states(
     )
 
 
+def full_texts(states: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``(conv_id, full_text, total_chars)``: what a session has said so far, from its stored chunks.
+
+    A session's chunks are joined block by block of ``block_chars`` characters first, so that one
+    long session is the work of many tasks; only its finished blocks meet at the end.
+    """
+    said = states.filter("chunk <> ''").select(
+        "conv_id",
+        F.floor(F.col("chars_before") / block_chars).alias("block"),
+        F.struct("chars_before", "chunk").alias("piece"),
+    )
+    joined = lambda pieces, field: F.array_join(
+        F.transform(F.array_sort(F.collect_list(pieces)), lambda p: p[field]), " "
+    )
+    blocks = said.groupBy("conv_id", "block").agg(joined("piece", "chunk").alias("text"))
+    texts = blocks.groupBy("conv_id").agg(
+        joined(F.struct("block", "text"), "text").alias("full_text")
+    )
+    sessions = states.select("conv_id").distinct()
+    return sessions.join(texts, "conv_id", "left").select(
+        "conv_id",
+        F.coalesce("full_text", F.lit("")).alias("full_text"),
+        F.coalesce(F.length("full_text"), F.lit(0)).cast("long").alias("total_chars"),
+    )
+
+
+def texts_so_far(states: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(conv_id, turn, full_text)``: the text of a session up to the asked turns.
+
+    Only chunks of asked sessions are read on; a chunk that several turns include is repeated for
+    each of them, which is what their texts do as well.
+    """
+    wanted = asked.select("conv_id", F.col("turn").alias("asked_turn")).distinct()
+    met = states.join(wanted, "conv_id").filter(F.col("turn") <= F.col("asked_turn"))
+    pieces = F.collect_list(F.when(F.col("chunk") != "", F.struct("chars_before", "chunk")))
+    text = F.array_join(F.transform(F.array_sort(pieces), lambda p: p["chunk"]), " ")
+    return met.groupBy("conv_id", "asked_turn").agg(text.alias("full_text")).select(
+        "conv_id", F.col("asked_turn").alias("turn"), "full_text"
+    )
+
+
 def final_matches(states: DataFrame, commands: DataFrame) -> DataFrame:
     """The first command in list order heard anywhere in a session, from its stored windows."""
     from corpusloom.operators.phrases import match_commands

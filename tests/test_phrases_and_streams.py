@@ -103,6 +103,29 @@ def test_transcripts_over_micro_batches(spark, tmp_path):
     assert got == {1: 1, 2: None}
 
 
+def test_text_of_a_very_long_session(spark, tmp_path):
+    """A hundred thousand chunks in one session: bounded state, the whole text at the end."""
+    rows = spark.range(100_000).selectExpr(
+        "1L AS conv_id", "id AS turn",
+        "CASE WHEN id % 10 = 3 THEN '  ' ELSE concat(' chunk  ', id) END AS text",
+    )
+    rows.repartition(4).write.parquet(str(tmp_path / "in"))
+    other = [(2, 0, "  "), (2, 1, None), (3, 0, "one"), (3, 1, "two\nthree")]
+    schema = "conv_id bigint, turn bigint, text string"
+    spark.createDataFrame(other, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    states = jobs.run_to_table(transcripts.transcript_states(stream), "long")
+    assert states.agg(F.max(F.length("tail"))).first()[0] == 200
+    want = " ".join(f"chunk {i}" for i in range(100_000) if i % 10 != 3)
+    for block in (transcripts.BLOCK_CHARS, 5000):
+        got = {r.conv_id: r for r in transcripts.full_texts(states, block).collect()}
+        assert {i: r.full_text for i, r in got.items()} == {1: want, 2: "", 3: "one two three"}
+        assert got[1].total_chars == len(want)
+    asked = spark.createDataFrame([(1, 4), (3, 0), (3, 9)], "conv_id bigint, turn bigint")
+    so_far = {(r.conv_id, r.turn): r.full_text for r in transcripts.texts_so_far(states, asked).collect()}
+    assert so_far == {(1, 4): "chunk 0 chunk 1 chunk 2 chunk 4", (3, 0): "one", (3, 9): "one two three"}
+
+
 def test_job_progress_over_micro_batches(spark, tmp_path):
     schema = "job_id bigint, status string, ts timestamp_ntz, seq bigint"
     import datetime as dt
