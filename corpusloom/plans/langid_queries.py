@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import classify as clf, langid as li
 from corpusloom.plans import sql
 from corpusloom.plans.catalog import query, r6
-from corpusloom.plans.search_queries import chunk_vectors
+from corpusloom.plans.search_queries import CENTROID_SQL, chunk_vectors, label_centroids
 from corpusloom.sources.shared import materialise
 from corpusloom.sources.tables import read_table, read_texts
 
@@ -166,6 +166,46 @@ def classify_vectors(spark, sf):
     )
 
 
+# Slope of the loss that counts as none: training stops at a relative change of its own.
+SLOPE_LEFT = 1e-3
+
+
+@query(
+    "classifier_at_optimum",
+    "SELECT DISTINCT label AS class, true AS at_optimum FROM embeddings",
+)
+def classifier_at_optimum(spark, sf):
+    """Whether no coefficient of the trained classes has a slope left in the penalised loss."""
+    vectors = _vectors(spark, sf)
+    table = clf.coefficients(clf.train(vectors), spark)
+    slopes = clf.loss_gradient(table, vectors)
+    return slopes.groupBy("class").agg(
+        (F.max(F.abs("gradient")) < SLOPE_LEFT).alias("at_optimum")
+    )
+
+
+@query(
+    "softmax_classes",
+    sql.with_(*CENTROID_SQL)
+    + """, z AS (SELECT vec_id, label, query_id AS class, sum(4 * m * x) AS z FROM dims
+        JOIN (SELECT query_id, i, m FROM centroids) USING (i) GROUP BY ALL),
+    e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM z),
+    p AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM e)
+    SELECT (vec_id // 4) AS doc_id, (vec_id % 4)::INT AS chunk_index, any_value(label) AS label,
+    arg_max(class, (p, -class))::INT AS predicted, round(1 - max(p), 6) AS distance
+    FROM p GROUP BY vec_id""",
+)
+def softmax_classes(spark, sf):
+    """Classes of all vectors from stored coefficients: four times the mean vector of each label."""
+    table = label_centroids(spark, sf).select(
+        F.col("query_id").cast("int").alias("class"),
+        F.lit(0.0).alias("intercept"),
+        F.expr("transform(vector, x -> 4 * x)").alias("weights"),
+    )
+    out = clf.classify_by_table(table, _vectors(spark, sf))
+    return out.select("doc_id", "chunk_index", "label", "predicted", r6(F.col("distance"), "distance"))
+
+
 PAIRS_SQL = (
     """pairs AS (SELECT s.doc_id, s.lang AS actual, i.predicted, s.n_chars / 1000.0::DOUBLE
         AS elapsed_ms FROM split s JOIN ident i USING (doc_id) WHERE s.split = 'test')""",
