@@ -5,7 +5,7 @@ from __future__ import annotations
 import html as _html
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from corpusloom.functions import urls
@@ -47,8 +47,8 @@ def clean_html(html: Column) -> Column:
     return squeeze(unescape(F.regexp_replace(F.regexp_replace(html, SILENT, " "), TAG, " ")))
 
 
-def main_blocks(html: Column) -> Column:
-    """Texts of the blocks of the main part of a page that are not mostly links.
+def _weighed_blocks(html: Column) -> Column:
+    """Blocks of the main part of a page: their text, and how many characters of it are links.
 
     The main part is the article or main element, or else the page without its furniture.
     """
@@ -66,11 +66,72 @@ def main_blocks(html: Column) -> Column:
         linked = F.array_join(F.regexp_extract_all(block, F.lit(ANCHOR), F.lit(0)), " ")
         return F.struct(_bare(block).alias("text"), F.length(_bare(linked)).alias("linked"))
 
-    blocks = F.transform(F.split(region, BLOCK), weigh)
-    kept = F.filter(blocks, lambda b: (b["text"] != "") & (b["linked"] * 2 <= F.length(b["text"])))
+    return F.transform(F.split(region, BLOCK), weigh)
+
+
+def main_blocks(html: Column) -> Column:
+    """Texts of the blocks of the main part of a page that are not mostly links."""
+    kept = F.filter(
+        _weighed_blocks(html),
+        lambda b: (b["text"] != "") & (b["linked"] * 2 <= F.length(b["text"])),
+    )
     return F.transform(kept, lambda b: b["text"])
 
 
+def dense_blocks(html: Column) -> Column:
+    """Texts of the blocks of the main part that stand where the page has its text.
+
+    A block's density is its number of characters outside links; gaps of one block are closed, so
+    that a block counts no less than both of its neighbours do. It is kept if that is at least a
+    third of the page's own measure, the density of the block in which the average character of the
+    page stands. Short lines between long paragraphs stay; runs of short blocks, like notices and
+    lists, do not, nor do blocks that are mostly links.
+    """
+    bind = lambda value, function: F.get(F.transform(F.array(value), function), F.lit(0))
+    zero = F.lit(0).cast("bigint")
+
+    def measured(blocks: Column) -> Column:
+        spread = F.transform(
+            blocks,
+            lambda b: F.greatest(F.length(b["text"]) - b["linked"], F.lit(0)).cast("bigint"),
+        )
+        return F.struct(blocks.alias("blocks"), spread.alias("d"))
+
+    def summed(page: Column) -> Column:
+        return F.struct(
+            page["blocks"].alias("blocks"),
+            page["d"].alias("d"),
+            F.aggregate(page["d"], zero, lambda a, x: a + x).alias("all"),
+            F.aggregate(page["d"], zero, lambda a, x: a + x * x).alias("squares"),
+        )
+
+    def kept(page: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(page["d"], i), zero)
+
+        def text(block: Column, i: Column) -> Column:
+            closed = F.greatest(at(i), F.least(at(i - 1), at(i + 1)))
+            dense = 3 * page["all"] * closed >= page["squares"]
+            plain = block["linked"] * 2 <= F.length(block["text"])
+            return F.when(dense & plain, block["text"])
+
+        return F.filter(F.transform(page["blocks"], text), lambda t: t.isNotNull())
+
+    blocks = F.filter(_weighed_blocks(html), lambda b: b["text"] != "")
+    return bind(bind(bind(blocks, measured), summed), kept)
+
+
+def dense_content(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """``(key, content)``: text of the dense blocks of each page; its main text where no block is
+    dense, and the whole page where that is empty too."""
+    page = F.col(html)
+    dense, main = (F.array_join(blocks(page), " ") for blocks in (dense_blocks, main_blocks))
+    whole = F.regexp_replace(F.regexp_replace(page, SILENT, " "), TAG, " ")
+    chosen = F.when(dense != "", dense).when(main != "", main).otherwise(whole)
+    # the planner must not move these expressions into the input of the Python function
+    rows = pages.select(key, F.explode(F.array(chosen)).alias("_chosen"))
+    return rows.select(key, squeeze(unescape(F.col("_chosen"))).alias("content"))
+
+
 def main_content(html: Column) -> Column:
     """Main text of a page; the whole page where no block qualifies."""
     found = unescape(F.array_join(main_blocks(html), " "))

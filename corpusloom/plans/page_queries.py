@@ -86,6 +86,28 @@ def main_content(spark, sf):
     )
 
 
+DENSE_SQL = (
+    "db AS (SELECT page_id, list_filter(blocks, lambda b: b.text <> '') AS b FROM bl)",
+    """dd AS (SELECT page_id, b, list_transform(b, lambda x:
+        greatest(length(x.text) - x.linked, 0)) AS d FROM db)""",
+    """dk AS (SELECT page_id, list_filter(list_transform(b, lambda x, i: CASE WHEN
+        x.linked * 2 <= length(x.text) AND 3 * list_sum(d) * greatest(d[i], least(
+        coalesce(d[i - 1], 0), coalesce(d[i + 1], 0))) >= list_sum(list_transform(d, lambda v: v * v))
+        THEN x.text END), lambda t: t IS NOT NULL) AS texts FROM dd)""",
+)
+
+
+@query(
+    "dense_content",
+    sql.with_(*MAIN_SQL, *DENSE_SQL)
+    + f"""SELECT page_id, coalesce(nullif({sql.squeeze(_decode("array_to_string(texts, ' ')"))},
+    ''), content) AS content FROM dk JOIN main USING (page_id)""",
+)
+def dense_content(spark, sf):
+    """The text of pages by the density of their blocks."""
+    return H.dense_content(read_texts(spark, sf, "pages"), "page_id")
+
+
 @query(
     "page_titles",
     f"""SELECT page_id, substr(coalesce(nullif({sql.strip(_decode(

@@ -242,3 +242,21 @@ def test_stale_needs_a_finished_index(spark):
     )
     out = {r.collection: r.is_stale for r in ig.stale_collections(collections, jobs).collect()}
     assert out == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_dense_content_drops_long_boilerplate(spark):
+    """Runs of short blocks outside any furniture element go, short lines in the article stay."""
+    paragraph = "The laser was aligned with care before each of the long measurements began. " * 6
+    notice = "".join(f"<div>Cookie notice {i}: we value your privacy.</div>" for i in range(30))
+    listed = "".join(f"<li>Related story number {i} and more</li>" for i in range(30))
+    links = "<p>" + "<a href='/x'>A link with a long text that goes on</a> " * 12 + "</p>"
+    html = (
+        f"<body>{notice}<div>{paragraph}</div><h2>A short heading</h2><div>{paragraph}</div>"
+        f"{links}<p>{paragraph}</p><ul>{listed}</ul></body>"
+    )
+    rows = [(1, html), (2, "<p>one line</p>"), (3, ""), (4, None), (5, "<p><a href='/x'>only a link</a></p>")]
+    df = spark.createDataFrame(rows, "page_id int, html string")
+    got = {r.page_id: r.content for r in H.dense_content(df, "page_id").collect()}
+    body = paragraph.strip()
+    assert got[1] == f"{body} A short heading {body} {body}"
+    assert (got[2], got[3], got[4], got[5]) == ("one line", "", None, "only a link")
