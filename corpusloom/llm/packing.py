@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from corpusloom.llm.arrow import CHUNK_BYTES, chunks, release_memory
 from corpusloom.sources.shared import materialise
 
 LENGTHS = (1024, 2048, 4096, 8192)
@@ -269,16 +270,28 @@ def _arrays(plan: Plan) -> tuple[np.ndarray, ...]:
     )
 
 
-def token_counts(docs: DataFrame, spec: str, end_id: bool = True) -> DataFrame:
-    """(doc_id, n_tokens) of every text, with the id that ends it; no shuffle."""
-    from corpusloom.llm.arrow import chunks
+def token_counts(
+    docs: DataFrame,
+    spec: str,
+    end_id: bool = True,
+    chunk_bytes: int = CHUNK_BYTES,
+    kept_units: int | None = None,
+) -> DataFrame:
+    """(doc_id, n_tokens) of every text, with the id that ends it; no shuffle.
+
+    A task holds about ``chunk_bytes`` of text and tables of ``kept_units`` units; less of both
+    costs time, but leaves room on executors whose workers have had other stages before.
+    """
     from corpusloom.llm.token_files import Tokenizer
 
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         tokenizer = Tokenizer(shared.value)
-        for batch in chunks(batches, "text"):
+        if kept_units is not None:
+            tokenizer.units.limit = tokenizer.words.limit = kept_units
+        for batch in chunks(batches, "text", chunk_bytes):
             _, counts = tokenizer.encode(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts + int(end_id))], ["doc_id", "n_tokens"]
