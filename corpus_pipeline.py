@@ -2,6 +2,10 @@
 
 Each stage takes all rows that its predecessor kept and, but for the last, returns the columns of
 its input. Between stages tables are written to the shared folder and read again.
+
+Defined results: documents without text have no language and go in the second stage; equal texts and
+near copies leave the one of the smallest id; an empty table gives no rows; texts of any length are
+read whole.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from corpusloom.sources.tables import read_table
 NEAR_DUPLICATES = shingle_join.Rule(words=5, percent=80)
 # Least share of the best language; even a text of two words has more.
 LEAST_LANGUAGE_SCORE = 0.3
+# Text and units that a packing task holds; its workers have run the other stages before.
+PACKING_CHUNK_BYTES, PACKING_KEPT_UNITS = 1 << 20, 150_000
 
 # Models, similarity and packing have no SQL form: the stages are tested against brute force.
 ORACLE_SQL = None
@@ -42,7 +48,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.token_counts(docs, tokenizer_text()))
+    counted = packing.token_counts(
+        docs, tokenizer_text(), chunk_bytes=PACKING_CHUNK_BYTES, kept_units=PACKING_KEPT_UNITS
+    )
+    return packing.pack(counted)
 
 
 STAGES = [
