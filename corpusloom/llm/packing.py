@@ -14,7 +14,7 @@ its room for shorter ones), so it may be broadcast.
 Defined results: documents longer than the largest permitted length are cut into pieces of that
 length and a rest; a null length, or one below 1, gives one row without bin (null); rows repeated
 under one id are packed each; rows without an id too; an empty table gives no rows; other columns
-of the input are kept unless their names clash with the result's, which win.
+of the input are not read.
 """
 
 from __future__ import annotations

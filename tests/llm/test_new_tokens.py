@@ -360,3 +360,12 @@ def test_registered():
 
     assert {"op11_sentence_pieces", "op12_token_alignment", "op13_fill_middle"} <= set(QUERIES)
     assert json.dumps(sorted(QUERIES))
+
+
+def test_pipeline_of_no_documents(spark, nothing, tmp_path):
+    import corpus_pipeline
+
+    nothing.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
