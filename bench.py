@@ -63,6 +63,7 @@ def session(cpus: str):
 
 
 def main() -> None:
+    from corpusloom.operators.index import indexes
     from corpusloom.plans import load_catalog
     from corpusloom.sources.tables import read_table
 
@@ -96,6 +97,7 @@ def main() -> None:
             }
         )
     )
+    indexes.drop_all()  # built once by the first query that needs one, within its time
     spark.stop()
 
 

@@ -40,6 +40,14 @@ class TermIndexLog:
         self.spark, self.path, self.fan = spark, path, fan
         self.last_batch = -1
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, fan: int = FAN) -> TermIndexLog:
+        """A log that was written before, as its newest manifest has it."""
+        log = cls(spark, path, fan)
+        newest = spark.read.text(f"{path}/manifest").agg(F.max("batch")).first()[0]
+        log.last_batch = -1 if newest is None else int(newest)
+        return log
+
     # runs and manifests
 
     def live_runs(self, batch: int | None = None) -> list[dict]:

@@ -85,6 +85,13 @@ def test_a_repeated_batch_replaces_itself(spark, built):
     assert rest == [row for row in before if row[0] != 7]
 
 
+def test_a_log_is_opened_again(spark, built):
+    log, _, _ = built
+    again = TermIndexLog.open(spark, log.path, fan=3)
+    assert again.last_batch == log.last_batch and again.live_runs() == log.live_runs()
+    assert again.postings().count() == log.postings().count()
+
+
 def test_words_are_those_of_the_tokenizer(spark):
     df = spark.createDataFrame([(word(5),)], "w string")
     assert df.select(T.words(df.w).alias("w")).first().w == [word(5)]
