@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.llm.arrow import chunks, ragged
+from corpusloom.llm.arrow import chunks, ragged, release_memory
 from corpusloom.sources.shared import materialise
 
 BUCKETS = 1 << 22
@@ -171,6 +171,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
         chosen = part if chosen is None else chosen.unionByName(part)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in chunks(batches, "text"):
             owner, feature = text_features(batch.column("text"))
             order = np.argsort(owner, kind="stable")
