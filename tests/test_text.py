@@ -135,3 +135,13 @@ def test_lemma_terms(spark):
     forms = spark.createDataFrame([("en", "cats", "Cat")], "lang string, term string, lemma string")
     got = sorted(r.term for r in tok.lemma_terms(tokens, stops, forms).collect())
     assert got == ["cat", "cat", "friendly"]
+
+
+@pytest.mark.parametrize(
+    "source, translation, expected",
+    [("Cat", "ßung", "ẞung"), ("CAT", "maße", "MAẞE"), ("CAT", "ﬁn", "ﬁN"), ("ẞA", "x", "X"),
+     ("ßa", "x", "x")],
+)
+def test_capitals_are_single_letters(spark, source, translation, expected):
+    df = spark.createDataFrame([(source, translation)], "s string, t string")
+    assert df.select(T.match_case(F.col("s"), F.col("t"))).first()[0] == expected

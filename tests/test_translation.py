@@ -4,6 +4,7 @@ import pytest
 
 from corpusloom.functions import word_blocks
 from corpusloom.operators import transfer as tf, translate as tr
+from corpusloom.plans import annotate as an
 from corpusloom.sources import lexicons
 
 TOKENS = (
@@ -237,3 +238,14 @@ def test_candidate_phrases(spark):
     )
     got = [r.words for r in tr.candidate_phrases(tokens).orderBy("start").collect()]
     assert got == [["red", "car"], ["big", "fast", "dog"]]
+
+
+def test_capitalised_entries_are_found_under_their_lemma(spark):
+    # the md5 of the lemma begins with 4, so its entry is written with a capital
+    tokens = spark.createDataFrame(
+        [("ßung", "ADJ", True)], "lemma string, pos string, is_alpha boolean"
+    )
+    entries = an.bulk_dictionary(tokens)
+    assert [r["source_lemma"] for r in entries.collect()] == ["ẞung"]
+    found = tr.build_lookup(entries, "en", "fr").filter("lemma = 'ßung' and pos = 'ADJ'")
+    assert [r["target"] for r in found.collect()] == ["ßange"]
