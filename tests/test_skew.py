@@ -43,6 +43,17 @@ def test_join_term_stats_covers_hot_and_cold_terms(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
 
 
+@pytest.mark.parametrize("rows, least", [(0, 1 << 63), (1, 256), (500, 4)])
+def test_join_term_stats_moves_rare_terms_alone(spark, rows, least):
+    made = [(d, t, [1]) for d in range(300) for t in ("everywhere", *(f"r{d % 60}{i}" for i in range(5)))]
+    postings = spark.createDataFrame(made, "doc_id bigint, term string, places array<int>")
+    stats = wt.document_frequencies(postings).filter("term <> 'r71'")
+    got = skew.join_term_stats(postings, stats, F.lit(300), rows=rows)
+    plain = postings.join(stats, "term", "left").select("doc_id", "term", "places", "df")
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    assert skew._least_frequency(stats, rows) == min(least, (1 << 63) - 1)
+
+
 def test_first_and_last_per_key(hot):
     first = {r.key: r.id for r in skew.first_per_key(hot, ["key"], ["x", "id"]).collect()}
     last = {r.key: r.id for r in skew.last_per_key(hot, ["key"], ["x", "id"]).collect()}
