@@ -1,10 +1,11 @@
 """Dictionary and transfer translation on small annotated sentences."""
 
+import duckdb
 import pytest
 
 from corpusloom.functions import word_blocks
 from corpusloom.operators import transfer as tf, translate as tr
-from corpusloom.plans import annotate as an
+from corpusloom.plans import annotate as an, load_catalog
 from corpusloom.sources import lexicons
 
 TOKENS = (
@@ -249,3 +250,33 @@ def test_capitalised_entries_are_found_under_their_lemma(spark):
     assert [r["source_lemma"] for r in entries.collect()] == ["ẞung"]
     found = tr.build_lookup(entries, "en", "fr").filter("lemma = 'ßung' and pos = 'ADJ'")
     assert [r["target"] for r in found.collect()] == ["ßange"]
+
+
+# A capital sigma at the end of a word, a dotted capital I after "ne", a vertical tab, and a blank
+# before a last separator of lines.
+ODD_TEXTS = [
+    "The ΟΔΟΣ of ΣΑΣ stands. ΟΔΟΣ by İzmir runs",
+    "By İstanbul we run by İstanbul İ. \u0130\u0130 İŞ by ΣΑΣ",
+    "oak\x0b elm by \x0bash \x0b",
+    "the red oak stands \u2028",
+    "the red oak stands \u0085",
+    "a quiet wood by a lake stands \u2029",
+]
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["lookup_translations", "direct_translate", "elision", "transfer_translate", "corpus_translation"],
+)
+def test_odd_letters_and_blanks_as_in_sql(spark, tmp_path, name):
+    catalog = load_catalog()
+    rows = [(i, text, "en", "web", len(text)) for i, text in enumerate(ODD_TEXTS)]
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, columns).coalesce(1).write.parquet(path)
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    got = sorted(map(str, map(tuple, df.collect())))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    expected = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLES[name]})").fetchall()
+    assert got == sorted(map(str, expected))
