@@ -44,12 +44,13 @@ def tokens_of(spark, sf, language="en"):
         F.regexp_extract_all(T.strip(F.col("text")), F.lit(SPARK_TOKEN_PATTERN), F.lit(2)).alias("ws"),
     )
     rows = docs.select("doc_id", "lang", F.posexplode(parts).alias("i", "p")).select(
-        "doc_id", "lang", "i", F.col("p.text").alias("text"), F.col("p.ws").alias("trailing_ws")
+        "doc_id", "lang", "i", F.col("p.text").alias("text"), F.col("p.ws").alias("trailing_ws"),
+        T.lower(F.col("p.text")).alias("_form"),
     )
     w = Window.partitionBy("doc_id").orderBy("i")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     ends = F.when(F.col("text").isin(".", "!", "?"), 1).otherwise(0)
-    form = T.lower(F.col("text"))
+    form = F.col("_form")
 
     def of(language, words):
         return F.col("lang").eqNullSafe(F.lit(language)) & form.isin(words)

@@ -30,8 +30,19 @@ class Translation:
         self.spark = spark
         # the annotation is an input table elsewhere: written once, then read by every step
         self.tokens = materialise(an.tokens_of(spark, sf), "tokens")
-        self.lookup = an.lookup_of(spark, self.tokens)
-        self.known = tr.with_translation(self.tokens, self.lookup)
+
+    @cached_property
+    def lookup(self):
+        return an.lookup_of(self.spark, self.tokens)
+
+    @cached_property
+    def known(self):
+        return tr.with_translation(self.tokens, self.lookup)
+
+    @property
+    def untranslated(self):
+        """The tokens for rules whose result no translation has a part in."""
+        return self.tokens.withColumn("translation", F.lit(None).cast("string"))
 
     @cached_property
     def stored(self):
@@ -191,7 +202,7 @@ def _in_order(units):
 
 @query("negation", sql.with_(*BASE_SQL, *NEGATION_SQL) + _order_sql("u1"))
 def negation(spark, sf):
-    return _in_order(tf.negation(tf.start_units(Translation(spark, sf).known)))
+    return _in_order(tf.negation(tf.start_units(Translation(spark, sf).untranslated)))
 
 
 @query(
@@ -204,7 +215,7 @@ def negation(spark, sf):
     + _order_sql("u2"),
 )
 def adjective_postposition(spark, sf):
-    return _in_order(tf.adjective_postposition(tf.start_units(Translation(spark, sf).known)))
+    return _in_order(tf.adjective_postposition(tf.start_units(Translation(spark, sf).untranslated)))
 
 
 def _agree_sql(source: str, target: str) -> str:

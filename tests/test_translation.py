@@ -280,3 +280,12 @@ def test_odd_letters_and_blanks_as_in_sql(spark, tmp_path, name):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
     expected = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLES[name]})").fetchall()
     assert got == sorted(map(str, expected))
+
+
+@pytest.mark.parametrize("name", ["negation", "adjective_postposition"])
+def test_moved_words_need_no_dictionary(spark, tmp_path, monkeypatch, name):
+    rows = [(1, "We run by the lake. A quiet tree stands by oaks", "en", "web", 46)]
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.delattr(an, "lookup_of")
+    assert load_catalog().QUERIES[name](spark, str(tmp_path)).count() == 1
