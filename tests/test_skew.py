@@ -72,3 +72,22 @@ def test_extend_vocabulary_keeps_ids(spark):
     ids = {r.term: r.term_id for r in both.collect()}
     assert sorted(ids.values()) == list(range(1, 91))
     assert all(ids[r.term] == r.term_id for r in first.collect())
+
+
+def test_missing_keys_are_spread(spark):
+    """Rows without a key find nothing, wherever they are: they must not meet in one task."""
+    facts = spark.range(4000).selectExpr("id", "if(id % 2 = 0, null, id % 500) AS key")
+    lookup = spark.range(500).selectExpr("id AS key", "id * 2 AS value")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = skew.lookup_join(facts, lookup, ["key"], ["id"], rows=0)
+        missing = got.filter("key is null").groupBy(F.spark_partition_id()).count().collect()
+        found = got.filter("value = key * 2").count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in missing) == 2000 and found == 2000
+    assert max(r["count"] for r in missing) < 1500
