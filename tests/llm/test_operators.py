@@ -556,6 +556,40 @@ def test_components_equal_brute_force(spark, monkeypatch, crowd, rule):
     assert sorted(got, key=str) == brute_components(rows, rule.words, rule.percent)
 
 
+def crowd_rows(n=160):
+    """Near copies of one text whose likeness to each other lies around the threshold."""
+    rnd = random.Random(4)
+    base = [f"v{i}" for i in range(150)]
+    rows = []
+    for i in range(n):
+        text = list(base)
+        for _ in range(2 if i % 4 else 3):
+            text[rnd.randrange(len(text))] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [2000, 7])
+def test_open_pairs_of_a_crowd_are_not_written(spark, monkeypatch, block):
+    monkeypatch.setattr(shingle_join, "BLOCK_SETS", block, raising=False)
+    stored = {}
+
+    def counted(df, name, inner=shingle_join.materialise):
+        table = inner(df, name)
+        stored[name] = table.count()
+        return table
+
+    monkeypatch.setattr(shingle_join, "materialise", counted)
+    rows = crowd_rows()
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    rule = shingle_join.Rule(4, 90)
+    got = [tuple(r) for r in shingle_join.join_documents(frame, rule).collect()]
+    assert sorted(got, key=str) == brute_components(rows, rule.words, rule.percent)
+    assert 0 < stored["open"] <= (1 if block == 2000 else 12) * stored["lists"]
+    if block == 2000:
+        assert stored["links"] < len(rows) * 2
+
+
 def test_one_of_each_group_stays(spark):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "other text is here"), (4, None)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
