@@ -34,6 +34,29 @@ def test_lookup_join(spark, hot, rows, how):
     )
 
 
+@pytest.mark.parametrize("rows, moved", [(0, 2000), (1, 1000), (20, 0), (1000, 0)])
+def test_frequent_keys_stay_where_they_are(spark, rows, moved):
+    """Facts of frequent keys and those without a key never meet the lookup in a shuffle."""
+    key = "if(id % 3 = 0, null, if(id % 3 = 1, 'hot', concat('k', id % 10)))"
+    facts = spark.range(3000).selectExpr("id", f"{key} AS key")
+    lookup = spark.range(9).selectExpr("concat('k', id) AS key", "id AS v", "map('a', id) AS m")
+    lookup = lookup.unionByName(spark.sql("SELECT 'hot' AS key, 99L AS v, map('b', 1L) AS m"))
+    before = skew.fits
+    skew.fits = lambda df, n=0: False
+    try:
+        got = skew.frequent_lookup_join(facts, lookup, "key", rows=rows)
+    finally:
+        skew.fits = before
+    plain = facts.join(lookup, "key", "left").select("id", "key", "v", "m")
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    far = got.groupBy().count()
+    assert far.first()[0] == 3000
+    kept = skew._least_frequency(facts.filter("key is not null").groupBy("key").count().withColumnRenamed("count", "df"), rows)
+    assert facts.filter("key is not null").groupBy("key").count().filter(f"count < {kept}").agg(
+        F.coalesce(F.sum("count"), F.lit(0))
+    ).first()[0] == moved
+
+
 def test_join_term_stats_covers_hot_and_cold_terms(spark):
     rows = [(d, t, 1) for d in range(300) for t in ("everywhere", f"rare{d % 90}")]
     postings = spark.createDataFrame(rows, "doc_id bigint, term string, tf int")

@@ -289,3 +289,47 @@ def test_moved_words_need_no_dictionary(spark, tmp_path, monkeypatch, name):
     spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "documents.parquet"))
     monkeypatch.delattr(an, "lookup_of")
     assert load_catalog().QUERIES[name](spark, str(tmp_path)).count() == 1
+
+
+@pytest.mark.parametrize("batch", [1, 2, 10_000])
+def test_tokens_of_a_document_are_annotated_where_it_lies(spark, tmp_path, batch):
+    """No window holds and sorts the tokens, and sentences go on from one batch to the next."""
+    texts = [
+        "A quiet tree stands. By the lake we are here! Trees by", "", None, "...", "no end by a big",
+        "By oaks. ! Red by ? are", "The red red red old oak by a lake and by the big hills stands here",
+    ]
+    rows = [(i, text, "en", "web", len(text or "")) for i, text in enumerate(texts)]
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, columns).coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = an.tokens_of(spark, str(tmp_path)).drop("morph", "is_punct")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(str, map(tuple, df.collect())))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "Window" not in plan and "Sort" not in plan
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    expected = con.execute(
+        f"WITH {', '.join(an.TOKEN_SQL)} SELECT {', '.join(df.columns)} FROM tok"
+    ).fetchall()
+    assert got == sorted(map(str, expected))
+
+
+@pytest.mark.parametrize("rows", [0, 1, 3, 1000])
+def test_translations_of_rare_lemmas_alone_move(spark, lookup, rows):
+    tokens = spark.createDataFrame(
+        annotate(
+            1,
+            "red|red|ADJ|amod|1 car|Car|NOUN|ROOT|- of|of|ADP|p|1 the|the|DET|d|1 cat|cat|VERB|p|1",
+            "run|run|VERB|ROOT|- fast|fast|ADV|p|5 red|red|ADJ|p|5 zed|zed|X|p|5 red|red|NOUN|p|5",
+        ),
+        TOKENS,
+    )
+    got = tr.with_translation(tokens, lookup, rows=rows).orderBy("i")
+    assert [r.translation for r in got.collect()] == [
+        "rouge", "voiture", "de", "le", "chat", "courir", "vite", "rouge", None, "rouge",
+    ]
