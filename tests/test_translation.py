@@ -333,3 +333,51 @@ def test_translations_of_rare_lemmas_alone_move(spark, lookup, rows):
     assert [r.translation for r in got.collect()] == [
         "rouge", "voiture", "de", "le", "chat", "courir", "vite", "rouge", None, "rouge",
     ]
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_units_know_their_heads_without_windows(spark, batch):
+    """Tokens meet their document once: no window, and no join with the heads."""
+    import random
+
+    rnd, rows = random.Random(4), []
+    for doc in range(12):
+        size = rnd.choice([1, 2, 5, 30])
+        for i in range(size):
+            head = rnd.choice([None, i, rnd.randrange(size), max(0, i - 1), i - 2, size + 3])
+            dep = rnd.choice(["amod", "amod", "neg", "aux", "dep"])
+            rows.append(
+                (doc, i // 4, i, rnd.choice(["Oak", "oak"]), rnd.choice(["Do", "do", "oak"]),
+                 rnd.choice(["NOUN", "ADJ"]), dep, head, rnd.random() < 0.8, False, False,
+                 rnd.choice(["", " "]), rnd.choice([{}, {"Number": "Plur"}]), rnd.choice([None, "x"]))
+            )
+    want = []
+    for d, sent, i, text, lemma, pos, dep, head, alpha, _, _, _, morph, _ in rows:
+        own = [r for r in rows if r[0] == d]
+        of = lambda h: [r for r in own if r[7] == h]
+        dos = lambda h: [r[2] for r in of(h) if r[6] == "aux" and r[4].lower() == "do"]
+        gone = lambda r: r[6] == "neg" or (
+            any(x[6] == "neg" for x in of(r[7])) and dos(r[7])[:1] == [r[2]]
+        )
+        behind = [r[2] - head for r in of(head) if r[6] == "amod" and head is not None and r[2] > head]
+        trailing = max([k for k, x in enumerate(behind, 1) if k == x], default=0)
+        known = next((r for r in own if r[2] == head), None)
+        want.append((
+            d, i, i > 0 and own[i - 1][11] == "", i == 0 or own[i - 1][1] != sent,
+            sum(r[8] for r in own), sum(r[8] and r[13] is not None for r in own),
+            known and (known[5], known[1], known[13], known[12].get("Number"), gone(known)),
+            known is not None and gone(own[i]), trailing,
+        ))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = tf.start_units(spark.createDataFrame(rows, f"{TOKENS}, translation string")).select(
+            "doc_id", "i", "no_space_before", "is_sent_start", "word_count",
+            "translated_word_count", "head", "gone", "trailing",
+        )
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = [(*r[:6], r[6] and tuple(r[6]), *r[7:]) for r in df.orderBy("doc_id", "i").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "Window" not in plan and "Join" not in plan
+    assert got == want
